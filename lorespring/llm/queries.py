@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, mixing, packing, quality, sharding, stream_dedup
+from . import langid, mixing, packing, parity_join, quality, sharding, stream_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,7 @@ def _over_documents(operator: Callable[[DataFrame], DataFrame]) -> Callable[[Spa
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": _over_documents(langid.op1),
+        "op2_ngram_jaccard_join": _over_documents(parity_join.op2),
         "op3_quality_rules": lambda spark, sf_dir: quality.op3(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")),
         "op4_source_mixing": _over_documents(mixing.op4),
         "op7_exact_dedup": _over_documents(stream_dedup.op7),
