@@ -7,7 +7,8 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
 
@@ -47,3 +48,18 @@ def delete(spark: SparkSession, path: str) -> None:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: Bits of the bitmap by which rows are picked before a shuffle: 8 MB are broadcast, however large the tables.
+PICK_BITS = 1 << 26
+
+
+def picked(df: DataFrame, of: Column, chosen: DataFrame, key: Column) -> DataFrame:
+    """Rows of df whose `of` may be among the keys of `chosen`. None that is among them goes missing; of the others about one in PICK_BITS / keys stays."""
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(PICK_BITS))
+    word = F.lit(1 << 15)
+    bits = chosen.select(place(key).alias("h")).select(F.floor(F.col("h") / word).alias("__part"), (F.col("h") % word).alias("at")).groupBy("__part").agg(F.bitmap_construct_agg("at").alias("__bits"))
+    marked = df.withColumn("__h", place(of)).withColumn("__part", F.floor(F.col("__h") / word))
+    byte = F.expr("conv(hex(substring(__bits, cast((__h % 32768) div 8 + 1 as int), 1)), 16, 10)").cast("int")
+    bit = F.expr("cast(__h % 8 as int)")
+    return marked.join(F.broadcast(bits), "__part").where(F.call_function("shiftright", byte, bit).bitwiseAND(F.lit(1)) == 1).drop("__h", "__part", "__bits")

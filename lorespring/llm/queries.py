@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, mixing, packing, parity_join, quality, sharding, stream_dedup
+from . import langid, mixing, packing, parity_join, quality, sharding, stream_dedup, suffix_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_ngram_jaccard_join": _over_documents(parity_join.op2),
         "op3_quality_rules": lambda spark, sf_dir: quality.op3(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")),
         "op4_source_mixing": _over_documents(mixing.op4),
+        "op5_suffix_array_dedup": _over_documents(suffix_dedup.op5),
         "op7_exact_dedup": _over_documents(stream_dedup.op7),
         "op8_best_fit_packing": _over_documents(packing.op8),
         "op10_sharding": _over_documents(sharding.op10),

@@ -75,9 +75,8 @@ def dedup(docs: DataFrame) -> DataFrame:
     narrow = spark.read.schema(narrow.schema).parquet(path)
     state = kept_state(path, narrow.schema, spark)
     checked = checked_groups(docs, state)
-    # of repeated rows that are equal in all that counts, one stays: the one whose locator or place is first
     rows = narrow.join(checked, "digest")
-    return rows.select("doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), F.col("digest").alias("text_sha256"))
+    return rows.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("digest").alias("text_sha256"))
 
 
 def checked_groups(docs: DataFrame, state: DataFrame) -> DataFrame:
