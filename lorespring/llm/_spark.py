@@ -54,12 +54,24 @@ def partitions(spark: SparkSession) -> int:
 PICK_BITS = 1 << 26
 
 
-def picked(df: DataFrame, of: Column, chosen: DataFrame, key: Column) -> DataFrame:
-    """Rows of df whose `of` may be among the keys of `chosen`. None that is among them goes missing; of the others about one in PICK_BITS / keys stays."""
+def _marked(df: DataFrame, of: Column, chosen: DataFrame, key: Column) -> DataFrame:
+    """df with __may: whether the bitmap of the keys of `chosen` has the bit of `of`."""
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(PICK_BITS))
     word = F.lit(1 << 15)
     bits = chosen.select(place(key).alias("h")).select(F.floor(F.col("h") / word).alias("__part"), (F.col("h") % word).alias("at")).groupBy("__part").agg(F.bitmap_construct_agg("at").alias("__bits"))
-    marked = df.withColumn("__h", place(of)).withColumn("__part", F.floor(F.col("__h") / word))
-    byte = F.expr("conv(hex(substring(__bits, cast((__h % 32768) div 8 + 1 as int), 1)), 16, 10)").cast("int")
-    bit = F.expr("cast(__h % 8 as int)")
-    return marked.join(F.broadcast(bits), "__part").where(F.call_function("shiftright", byte, bit).bitwiseAND(F.lit(1)) == 1).drop("__h", "__part", "__bits")
+    found = df.withColumn("__h", place(of)).withColumn("__part", F.floor(F.col("__h") / word)).join(F.broadcast(bits), "__part", "left")
+    byte = F.expr("cast(conv(hex(substring(__bits, cast((__h % 32768) div 8 + 1 as int), 1)), 16, 10) as int)")
+    bit = F.call_function("shiftright", byte, F.expr("cast(__h % 8 as int)")).bitwiseAND(F.lit(1))
+    return found.withColumn("__may", F.coalesce(bit == 1, F.lit(False))).drop("__h", "__part", "__bits")
+
+
+def picked(df: DataFrame, of: Column, chosen: DataFrame, key: Column) -> DataFrame:
+    """Rows of df whose `of` may be among the keys of `chosen`. None that is among them goes missing; of the others about one in PICK_BITS / keys stays."""
+    return _marked(df, of, chosen, key).where("__may").drop("__may")
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """Rows of docs whose doc_id isn't in gone (doc_id). Only rows that the bitmap can't clear are shuffled."""
+    marked = _marked(docs, F.col("doc_id"), gone, F.col("doc_id"))
+    unsure = marked.where("__may").join(gone.select("doc_id").distinct(), "doc_id", "left_anti")
+    return marked.where("NOT __may").select(*docs.columns).unionByName(unsure.select(*docs.columns))

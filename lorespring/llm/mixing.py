@@ -21,6 +21,8 @@ sources is refused, since the weights need all sources in order.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -77,9 +79,9 @@ def sainte_lague(votes: np.ndarray, seats: int) -> np.ndarray:
 
 
 def apportion(docs: DataFrame, seed: int = 11) -> DataFrame:
-    """doc_id, source and size of every document, its source's size and target, and what of it is taken: `rounds` times the whole, and the words from `a` to `b` and from 0 to `c` once more; `taken` is the sum."""
+    """doc_id, tag (a hash of the text), source and size of every document, its source's size and target, and what of it is taken: `rounds` times the whole, and the words from `a` to `b` and from 0 to `c` once more; `taken` is the sum."""
     spark = docs.sparkSession
-    sized = written(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")), "mix")
+    sized = written(docs.select("doc_id", F.xxhash64("text").alias("tag"), "source", n_words(F.col("text")).alias("size")), "mix")
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size")).limit(MOST_SOURCES + 1).toPandas()
     if len(sources) > MOST_SOURCES:
         raise ValueError(f"over {MOST_SOURCES} sources")
@@ -107,7 +109,7 @@ def apportion(docs: DataFrame, seed: int = 11) -> DataFrame:
     # one row a source and MOST_SHARDS besides, at most
     quotas = spark.createDataFrame([(None if pd.isna(s) else s, int(k), int(w), int(q)) for s, k, w, q in zip(shards["source"], shards["shard"], words, shards["quota"])], "source_ string, shard_ int, words long, quota long")
     ring = placed.join(F.broadcast(quotas), F.col("source").eqNullSafe(F.col("source_")) & (F.col("shard") == F.col("shard_"))).drop("source_", "shard_")
-    at = W.Window.partitionBy("source", "shard").orderBy(F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id")
+    at = W.Window.partitionBy("source", "shard").orderBy(F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id", "tag")
     begin = F.sum("size").over(at.rowsBetween(W.Window.unboundedPreceding, 0)) - F.col("size")
     ring = ring.withColumn("begin", begin)
     has = F.col("words") > 0
@@ -118,7 +120,38 @@ def apportion(docs: DataFrame, seed: int = 11) -> DataFrame:
     cut = lambda x: F.greatest(F.lit(0), F.least(F.col("size"), x - F.col("begin")))
     ring = ring.withColumns({"a": cut(F.col("first")), "b": cut(F.least(F.col("first") + F.col("rest"), F.col("words"))), "c": cut(F.greatest(F.lit(0), F.col("first") + F.col("rest") - F.col("words")))})
     taken = F.col("rounds") * F.col("size") + (F.col("b") - F.col("a")) + F.col("c")
-    return ring.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), F.col("rounds").cast("long"), F.col("a").cast("long"), F.col("b").cast("long"), F.col("c").cast("long"))
+    return ring.select("doc_id", "tag", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), F.col("rounds").cast("long"), F.col("a").cast("long"), F.col("b").cast("long"), F.col("c").cast("long"))
+
+
+def mixed(docs: DataFrame) -> DataFrame:
+    """The mix itself: docs with each row as often as whole rounds take it, and a row of its own for each part that is taken beside, with text and n_chars of that part. Columns are those of docs.
+
+    Rows that are equal in doc_id and text count as one here.
+    """
+    columns = docs.columns
+    plan = apportion(docs).where("taken > 0").select("doc_id", "tag", "size", "rounds", "a", "b", "c").dropDuplicates(["doc_id", "tag"])
+    plan = plan.withColumn("rounds", F.col("rounds") + F.when(F.col("b") - F.col("a") == F.col("size"), 1).when(F.col("c") == F.col("size"), 1).otherwise(0))
+    # what is taken whole by the run of blocks is a round
+    plan = plan.withColumns({"b": F.when(F.col("b") - F.col("a") == F.col("size"), F.col("a")).otherwise(F.col("b")), "c": F.when(F.col("c") == F.col("size"), 0).otherwise(F.col("c"))})
+    plan = plan.select(F.col("doc_id").alias("__id"), F.col("tag").alias("__tag"), F.col("rounds").alias("__rounds"), F.array(F.array("a", "b"), F.array(F.lit(0).cast("long"), "c")).alias("__parts"))
+    joined = docs.join(plan, docs["doc_id"].eqNullSafe(plan["__id"]) & (F.xxhash64(docs["text"]) == plan["__tag"]))
+    whole = joined.where("__rounds > 0").withColumn("__n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__rounds")))).select(*columns)
+    parts = joined.withColumn("__part", F.explode(F.filter("__parts", lambda p: p[1] > p[0])))
+
+    @F.pandas_udf("string")
+    def some(text: pd.Series, part: pd.Series) -> pd.Series:
+        return pd.Series([_words(t, int(p[0]), int(p[1])) for t, p in zip(text, part)], dtype=object)
+
+    parts = parts.withColumn("text", some("text", "__part"))
+    if "n_chars" in columns:
+        parts = parts.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return whole.unionByName(parts.select(*columns))
+
+
+def _words(text: str, a: int, b: int) -> str:
+    """The text from its word a to its word b - 1, with what stands between them."""
+    spans = [m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", text)]
+    return text[spans[a][0] : spans[b - 1][1]]
 
 
 def op4(docs: DataFrame) -> DataFrame:

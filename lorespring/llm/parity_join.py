@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 
 from ._arrays import mix, shingle_sets, text_chunks
 from ._graph import components
-from ._spark import delete, partitions, scratch, written
+from ._spark import partitions, picked, without, written
 
 WIDTH = 5
 #: Sets of up to so many shingles have a piece for each.
@@ -54,8 +54,6 @@ SMALL = 128
 SEEDS = 12
 #: Entries that a task packs at a time; shingles of a block of a component.
 FLUSH, BLOCK_SHINGLES = 1 << 20, 1 << 20
-#: Distinct values of the hash that bounds what is broadcast to pick rows.
-PICKS = 1 << 20
 
 _BOUNDS = [SMALL]
 while _BOUNDS[-1] < 1 << 40:
@@ -353,13 +351,6 @@ def compare(group: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([x for _, x in found], pa.int64())})
 
 
-def only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of docs whose doc_id is in ids (doc_id). At most PICKS hash values are broadcast, so that few other rows are shuffled."""
-    pick = F.pmod(F.xxhash64("doc_id"), F.lit(PICKS)).cast("int")
-    picks = ids.select(pick.alias("__pick")).distinct()
-    return docs.withColumn("__pick", pick).join(F.broadcast(picks), "__pick", "left_semi").drop("__pick").join(ids, "doc_id", "left_semi")
-
-
 def similar(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, n_similar and component_id of every row of docs."""
     spark = docs.sparkSession
@@ -386,7 +377,7 @@ def similar(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(offsets)), pa.array([hashes[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:])], pa.binary())], names=["id", "n", "shingles"])
 
     # repeated rows of a doc_id have the same set or not: any with the class's digest will do
-    sets = written(only(read, ids).mapInArrow(sets_of, "id long, n long, shingles binary").dropDuplicates(["id"]), "left-sets")
+    sets = written(picked(read, F.col("doc_id"), ids, F.col("doc_id")).join(ids, "doc_id", "left_semi").mapInArrow(sets_of, "id long, n long, shingles binary").dropDuplicates(["id"]), "left-sets")
     stars = sets.select("id", "shingles").mapInArrow(lambda b: emit_stars(b, buckets), "bucket int, kind int, blob binary")
     near = components(stars.groupBy("bucket").applyInArrow(join_stars, "a long, b long"))
     members = written(sets.join(near, sets["id"] == near["node"]).select("component", "id", "n", "shingles"), "members")
@@ -430,8 +421,7 @@ def _compared(members: DataFrame) -> DataFrame:
 def representatives(docs: DataFrame) -> DataFrame:
     """docs without the near copies: of each component the row with the smallest doc_id stays."""
     found = similar(docs)
-    gone = found.where("doc_id <> component_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return without(docs, found.where("doc_id <> component_id").select("doc_id"))
 
 
 def op2(docs: DataFrame) -> DataFrame:

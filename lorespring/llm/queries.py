@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, mixing, packing, parity_join, quality, sharding, stream_dedup, suffix_dedup
+from . import langid, license_scan, mixing, packing, parity_join, quality, sharding, stream_dedup, suffix_dedup, unit_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,11 +24,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_quality_rules": lambda spark, sf_dir: quality.op3(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")),
         "op4_source_mixing": _over_documents(mixing.op4),
         "op5_suffix_array_dedup": _over_documents(suffix_dedup.op5),
+        "op6_line_dedup": _over_documents(unit_dedup.op6),
         "op7_exact_dedup": _over_documents(stream_dedup.op7),
         "op8_best_fit_packing": _over_documents(packing.op8),
+        "op9_license_scan": _over_documents(license_scan.op9),
         "op10_sharding": _over_documents(sharding.op10),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_dedup": stream_dedup.SQL}
+    return {"op6_line_dedup": unit_dedup.SQL, "op7_exact_dedup": stream_dedup.SQL}

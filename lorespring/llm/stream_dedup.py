@@ -20,10 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import scratch, shared_dir
-
-#: Values of the digest prefix that says which rows may have been hit; it bounds what is broadcast.
-PREFIXES = 1 << 20
+from ._spark import picked, scratch, shared_dir, without
 
 
 def normal(text: Column) -> Column:
@@ -81,17 +78,24 @@ def dedup(docs: DataFrame) -> DataFrame:
 
 def checked_groups(docs: DataFrame, state: DataFrame) -> DataFrame:
     """state, with the bytes of the texts behind every digest that was hit compared: more than one text stops the query."""
-    prefix = lambda digest: F.conv(F.substring(digest, 1, 5), 16, 10).cast("int")
     hit = state.where("group_size > 1").select("digest")
-    may = hit.select(prefix(F.col("digest")).alias("p")).distinct()  # PREFIXES rows at most
     texts = docs.select(F.sha2(normal(F.col("text")), 256).alias("digest"), normal(F.col("text")).alias("t"))
-    texts = texts.withColumn("p", prefix(F.col("digest"))).join(F.broadcast(may), "p", "left_semi")
-    sets = texts.groupBy("digest").agg(F.size(F.collect_set("t")).alias("n_texts"))
+    sets = picked(texts, F.col("digest"), hit, F.col("digest")).groupBy("digest").agg(F.size(F.collect_set("t")).alias("n_texts"))
     joined = state.join(sets, "digest", "left")
     fine = F.when(F.col("n_texts") > 1, F.raise_error(F.lit("two texts share a SHA-256 digest")).cast("bigint")).otherwise(F.col("group_size"))
     return joined.select("digest", "keep_id", fine.alias("group_size"))
 
 
+def unique(docs: DataFrame) -> DataFrame:
+    """The rows of docs that stay. Of repeated rows with the same doc_id and text, one does."""
+    found = dedup(docs)
+    rest = without(docs, found.where("NOT kept").select("doc_id"))
+    twice = found.where("kept").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    once = without(rest, twice)
+    again = picked(rest, F.col("doc_id"), twice, F.col("doc_id")).join(twice, "doc_id", "left_semi").withColumn("__text", normal(F.col("text"))).dropDuplicates(["doc_id", "__text"])
+    return once.unionByName(again.select(*docs.columns))
+
+
 def op7(docs: DataFrame) -> DataFrame:
     return dedup(docs)
 
