@@ -44,6 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._arrays import mix, shingle_sets, text_chunks
+from ._blobs import ROWS, batch_of, blobs_of, bucket_of, had_by_two, pack, slices, unpack
 from ._graph import components
 from ._spark import partitions, picked, without, written
 
@@ -53,7 +54,10 @@ SMALL = 128
 #: Hash seeds that a set with many empty pieces is joined under, at most.
 SEEDS = 12
 #: Entries that a task packs at a time; shingles of a block of a component.
-FLUSH, BLOCK_SHINGLES = 1 << 20, 1 << 20
+FLUSH, BLOCK_SHINGLES = 1 << 19, 1 << 20
+#: Bytes of text that a task has as arrays at a time.
+TEXT_BYTES = 1 << 20
+_LOW = np.uint64((1 << 40) - 1)
 
 _BOUNDS = [SMALL]
 while _BOUNDS[-1] < 1 << 40:
@@ -156,78 +160,35 @@ def digests_of(offsets: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-# A blob holds, for one bucket, an owner table and entries (key, index of the owner).
-
-
-def _blobs(key: np.ndarray, owner: np.ndarray, table: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes]]:
-    """Entries by bucket, each with the part of the owner table that it uses."""
-    bucket = ((key >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int64)
-    order = np.argsort(key)
-    key, owner, bucket = key[order], owner[order], bucket[order]
-    cuts = np.flatnonzero(np.diff(bucket)) + 1
-    for a, b in zip(np.concatenate([[0], cuts]), np.concatenate([cuts, [len(key)]])):
-        if b > a:
-            used, index = np.unique(owner[a:b], return_inverse=True)
-            head = np.array([len(used), b - a], np.int64)
-            yield int(bucket[a]), b"".join([head.tobytes(), table[used].tobytes(), key[a:b].tobytes(), index.astype(np.uint32).tobytes()])
-
-
-def _unblob(blob: bytes, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    n, m = np.frombuffer(blob, np.int64, 2)
-    table = np.frombuffer(blob, np.int64, n * width, 16).reshape(n, width)
-    key = np.frombuffer(blob, np.uint64, m, 16 + 8 * n * width)
-    return table, key, np.frombuffer(blob, np.uint32, m, 16 + 8 * n * width + 8 * m)
-
-
-def _gather(group: pa.Table, kind: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    tables, keys, owners, base = [np.zeros((0, width), np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
-    for k, blob in zip(group.column("kind").to_pylist(), group.column("blob").to_pylist()):
-        if k == kind:
-            table, key, owner = _unblob(blob, width)
-            tables.append(table)
-            keys.append(key)
-            owners.append(owner.astype(np.int64) + base)
-            base += len(table)
-    return np.concatenate(tables), np.concatenate(keys), np.concatenate(owners)
-
-
-def _shared(key: np.ndarray, who: np.ndarray, sure: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Entries in the order of their keys, and whether each one's key is had by two (who) or by one that is surely not alone."""
-    order = np.argsort(key, kind="stable")
-    key, who, sure = key[order], who[order], sure[order]
-    start = np.ones(len(key), bool)
-    start[1:] = key[1:] != key[:-1]
-    run = np.cumsum(start) - 1
-    differs = np.zeros(len(key), bool)
-    differs[1:] = ~start[1:] & (who[1:] != who[:-1])
-    return order, np.bincount(run, weights=differs | sure, minlength=run[-1] + 1 if len(run) else 0)[run] > 0
-
-
-_OWNER = 3  # digest, role, need; a need of -1 says that two or more sets of the task have the key
+def owner_of(digest: np.ndarray, role: np.ndarray) -> np.ndarray:
+    """A 40-bit number for a set in a role. Sets that share one are both kept when either is: that costs work, never a link."""
+    return mix(digest.astype(np.uint64) ^ mix(role.astype(np.uint64))) & _LOW
 
 
 def emit_counts(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    """The pieces of the sets of a task, packed (kind 0), and those that it answers itself (kind 1: owner rows with counts)."""
-    tables: list[np.ndarray] = []
-    keys: list[np.ndarray] = []
-    owners: list[np.ndarray] = []
+    """Of the sets of a task. Kind 0: their keys, for a bucket (owner 0: two or more sets of the task have it). Kind 1: keys that the task answers itself, as owners and counts. Kind 2: owners, digests and needs."""
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
     seen: set[int] = set()
-    held = [0, 0]
+    sizes = [0, 0]
 
     def flush() -> pa.RecordBatch:
-        table, key, owner = np.concatenate(tables), np.concatenate(keys), np.concatenate(owners)
-        order, both = _shared(key, table[owner, 0], np.zeros(len(key), bool))
-        key, owner = key[order], owner[order]
-        answered = np.bincount(owner[both], minlength=len(table))
+        owner, digest, need = (np.concatenate([h[i] for h in held]) for i in range(3))
+        key, who = np.concatenate([h[3] for h in held]), np.concatenate([h[4] for h in held])
+        held.clear(), seen.clear()
+        sizes[:] = [0, 0]
+        order = np.argsort(key)
+        key, who = key[order], who[order]
+        shared, start = had_by_two(key, owner[who], np.zeros(len(key), bool))
+        answered = np.bincount(who[shared], minlength=len(owner))
         some = np.flatnonzero(answered)
-        known = np.unique(key[both])
-        rows = [(b, 0, blob) for b, blob in _blobs(np.concatenate([key[~both], known]), np.concatenate([owner[~both], np.full(len(known), len(table))]), np.vstack([table, [[0, 0, -1]]]), buckets)]
-        rows += [(int(rows[0][0]) if rows else 0, 1, np.column_stack([table[some], answered[some]]).astype(np.int64).tobytes())] if len(some) else []
-        tables.clear(), keys.clear(), owners.clear(), seen.clear()
-        held[:] = [0, 0]
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], names=["bucket", "kind", "blob"])
-
-    for _, texts in text_chunks(batches, "text"):
+        sent = ~shared | start
+        value, by = key[sent], np.where(shared[sent], 0, owner[who[sent]])
+        rows = [(b, 0, pack((value[x:y], 5), (by[x:y], 5))) for b, x, y in slices(bucket_of(value, buckets))]
+        place = int(key[0] % np.uint64(buckets))
+        rows += [(place, 1, pack((owner[some], 5), (answered[some], 5))), (place, 2, pack((owner, 5), (digest.astype(np.uint64), 8), (need, 5)))]
+        return batch_of(rows)
+
+    for _, texts in text_chunks(batches, "text", TEXT_BYTES):
         offsets, hashes = shingle_sets(texts, WIDTH, lower=True)
         digests = digests_of(offsets, hashes)[:, 0]
         # equal sets of a task are sent once
@@ -236,30 +197,39 @@ def emit_counts(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.
         if not len(fresh):
             continue
         seen.update(digests[fresh].tolist())
-        lengths = (offsets[fresh + 1] - offsets[fresh])
-        inner = np.concatenate([[0], np.cumsum(lengths)])
-        of, role, need, key_role, key = keys_of(inner, hashes[_ranges(offsets[fresh], lengths)])
-        tables.append(np.column_stack([digests[fresh][of], role, need]))
-        keys.append(key)
-        owners.append(key_role + held[0])
-        held[0] += len(of)
-        held[1] += len(key)
-        if held[1] >= FLUSH:
+        lengths = offsets[fresh + 1] - offsets[fresh]
+        of, role, need, key_role, key = keys_of(np.concatenate([[0], np.cumsum(lengths)]), hashes[_ranges(offsets[fresh], lengths)])
+        held.append((owner_of(digests[fresh][of], role), digests[fresh][of], need, key, key_role + sizes[0]))
+        sizes[0] += len(of)
+        sizes[1] += len(key)
+        if sizes[1] >= FLUSH:
             yield flush()
-    if held[1]:
+    if sizes[1]:
         yield flush()
 
 
 def count_shared(group: pa.Table) -> pa.Table:
-    """Of one bucket: digest, role, need and the number of keys that other sets have too."""
-    table, key, owner = _gather(group, 0, _OWNER)
-    order, both = _shared(key, table[owner, 0], table[owner, 2] < 0) if len(key) else (np.zeros(0, np.int64), np.zeros(0, bool))
-    counts = np.bincount(owner[order][both], minlength=len(table))
-    some = np.flatnonzero((counts > 0) & (table[:, 2] >= 0))
-    rows = [np.column_stack([table[some], counts[some]])]
-    rows += [np.frombuffer(b, np.int64).reshape(-1, 4) for k, b in zip(group.column("kind").to_pylist(), group.column("blob").to_pylist()) if k == 1]
-    all_ = np.concatenate(rows)
-    return pa.table({"digest": all_[:, 0], "role": all_[:, 1], "need": all_[:, 2], "n": all_[:, 3]})
+    """Of one bucket: owners and how many of their keys other sets have, too (digest null); and sets with their owners and needs."""
+    parts = [unpack(b) for b in blobs_of(group, 0)]
+    owners, counts = [], []
+    if parts:
+        key, who = (np.concatenate([p[i] for p in parts]) for i in range(2))
+        order = np.lexsort((who, key))
+        key, who = key[order], who[order]
+        shared, _ = had_by_two(key, who, who == 0)
+        again = np.zeros(len(key), bool)
+        again[1:] = (key[1:] == key[:-1]) & (who[1:] == who[:-1])
+        found, n = np.unique(who[shared & ~again & (who > 0)], return_counts=True)
+        owners.append(found), counts.append(n.astype(np.uint64))
+    for owner, n in map(unpack, blobs_of(group, 1)):
+        owners.append(owner), counts.append(n)
+    known = [unpack(b) for b in blobs_of(group, 2)]
+    owner = np.concatenate([*owners, *(k[0] for k in known), np.zeros(0, np.uint64)]).astype(np.int64)
+    n = np.concatenate([*counts, np.zeros(0, np.uint64)]).astype(np.int64)
+    sets = len(owner) - len(n)
+    digest = np.concatenate([*(k[1] for k in known), np.zeros(0, np.uint64)]).view(np.int64)
+    need = np.concatenate([*(k[2] for k in known), np.zeros(0, np.uint64)]).astype(np.int64)
+    return pa.table({"owner": owner, "n": np.concatenate([n, need]), "digest": pa.array(np.concatenate([np.zeros(len(n), np.int64), digest]), mask=np.arange(len(owner)) < len(owner) - sets)})
 
 
 def emit_stars(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
@@ -274,10 +244,10 @@ def emit_stars(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.R
         start[1:] = key[1:] != key[:-1]
         centre = who[start][np.cumsum(start) - 1]
         edges = np.unique(np.column_stack([who, centre])[who != centre], axis=0)
-        table, index = np.unique(who[start], return_inverse=True)
-        rows = [(b, 0, blob) for b, blob in _blobs(key[start], index, table.reshape(-1, 1), buckets)]
-        rows += [(int(rows[0][0]) if rows else 0, 1, edges.tobytes())] if len(edges) else []
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], names=["bucket", "kind", "blob"])
+        value, first = key[start], who[start].astype(np.uint64)
+        rows = [(b, 0, pack((value[x:y], 8), (first[x:y], 8))) for b, x, y in slices(bucket_of(value, buckets))]
+        rows += [(int(key[0] % np.uint64(buckets)), 1, pack((edges[:, 0], 8), (edges[:, 1], 8)))]
+        return batch_of(rows)
 
     parts, held, base = [], 0, 0
     for batch in batches:
@@ -299,16 +269,17 @@ def emit_stars(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.R
 
 def join_stars(group: pa.Table) -> pa.Table:
     """Of one bucket: an edge from each set to the smallest that has the same key."""
-    table, key, owner = _gather(group, 0, 1)
-    who = table[owner, 0]
-    order = np.lexsort((who, key))
-    key, who = key[order], who[order]
-    start = np.ones(len(key), bool)
-    start[1:] = key[1:] != key[:-1]
-    centre = who[start][np.cumsum(start) - 1] if len(key) else who
-    edges = [np.column_stack([who, centre])[who != centre]]
-    edges += [np.frombuffer(b, np.int64).reshape(-1, 2) for k, b in zip(group.column("kind").to_pylist(), group.column("blob").to_pylist()) if k == 1]
-    all_ = np.unique(np.concatenate(edges), axis=0)
+    parts = [unpack(b) for b in blobs_of(group, 0)]
+    edges = [np.column_stack([a, b]).view(np.int64) for a, b in map(unpack, blobs_of(group, 1))]
+    if parts:
+        key, who = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]).view(np.int64)
+        order = np.lexsort((who, key))
+        key, who = key[order], who[order]
+        start = np.ones(len(key), bool)
+        start[1:] = key[1:] != key[:-1]
+        centre = who[start][np.cumsum(start) - 1]
+        edges.append(np.column_stack([who, centre])[who != centre])
+    all_ = np.unique(np.concatenate([*edges, np.zeros((0, 2), np.int64)]), axis=0)
     return pa.table({"a": all_[:, 0], "b": all_[:, 1]})
 
 
@@ -357,7 +328,7 @@ def similar(docs: DataFrame) -> DataFrame:
     buckets = 4 * partitions(spark)
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in text_chunks(batches, "text"):
+        for batch, texts in text_chunks(batches, "text", TEXT_BYTES):
             offsets, hashes = shingle_sets(texts, WIDTH, lower=True)
             two = digests_of(offsets, hashes)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(offsets)), pa.array(two[:, 0]), pa.array(two[:, 1])], names=["doc_id", "n_shingles", "digest", "digest2"])
@@ -366,19 +337,20 @@ def similar(docs: DataFrame) -> DataFrame:
     rows = written(read.mapInArrow(digest, "doc_id long, n_shingles long, digest long, digest2 long"), "sets")
     classes = written(rows.where("n_shingles > 0").groupBy("digest", "digest2").agg(F.min("doc_id").alias("id"), F.count("*").alias("members")), "classes")
 
-    packed = read.select("text").mapInArrow(lambda b: emit_counts(b, buckets), "bucket int, kind int, blob binary")
-    counted = packed.groupBy("bucket").applyInArrow(count_shared, "digest long, role long, need long, n long")
-    left = counted.groupBy("digest", "role").agg(F.sum("n").alias("n"), F.max("need").alias("need")).where("n >= need").select("digest").distinct()
+    packed = read.select("text").mapInArrow(lambda b: emit_counts(b, buckets), ROWS)
+    counted = written(packed.groupBy("bucket").applyInArrow(count_shared, "owner long, n long, digest long"), "counted")
+    counts = counted.where("digest IS NULL").groupBy("owner").agg(F.sum("n").alias("n"))
+    left = counted.where("digest IS NOT NULL").withColumnRenamed("n", "need").join(counts, "owner").where("n >= need").select("digest").distinct()
     ids = written(classes.join(left, "digest").select(F.col("id").alias("doc_id")), "left")
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in text_chunks(batches, "text"):
+        for batch, texts in text_chunks(batches, "text", TEXT_BYTES):
             offsets, hashes = shingle_sets(texts, WIDTH, lower=True)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(offsets)), pa.array([hashes[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:])], pa.binary())], names=["id", "n", "shingles"])
 
     # repeated rows of a doc_id have the same set or not: any with the class's digest will do
     sets = written(picked(read, F.col("doc_id"), ids, F.col("doc_id")).join(ids, "doc_id", "left_semi").mapInArrow(sets_of, "id long, n long, shingles binary").dropDuplicates(["id"]), "left-sets")
-    stars = sets.select("id", "shingles").mapInArrow(lambda b: emit_stars(b, buckets), "bucket int, kind int, blob binary")
+    stars = sets.select("id", "shingles").mapInArrow(lambda b: emit_stars(b, buckets), ROWS)
     near = components(stars.groupBy("bucket").applyInArrow(join_stars, "a long, b long"))
     members = written(sets.join(near, sets["id"] == near["node"]).select("component", "id", "n", "shingles"), "members")
 
