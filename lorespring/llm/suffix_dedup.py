@@ -39,33 +39,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._arrays import Buffer, text_chunks, texts_of
+from ._blobs import ROWS, batch_of, blobs_of, bucket_of, had_by_two, joined, pack, slices, unpack
 from ._spark import partitions, picked, written
 from ._suffixes import common_prefixes, suffix_array, words_at
 
 LENGTH = 50
 ANCHOR = 26
-FLUSH = 1 << 20
-_LONGEST_RUN = 60_000
+#: Runs that a task packs at a time; bytes of text that it has as arrays, and of a suffix array.
+FLUSH, TEXT_BYTES, BLOCK_BYTES = 1 << 19, 1 << 19, 1 << 19
+_LONGEST_RUN = 255
 #: What a null doc_id counts as: it is smaller than any other.
 _NO_ID = -(1 << 63)
 
 
-def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays in one piece of binary."""
-    head = np.array([len(arrays), *(x for a in arrays for x in (ord(a.dtype.char), a.nbytes))], np.int64)
-    return b"".join([head.tobytes(), *(a.tobytes() for a in arrays)])
-
-
-def unpack(blob: bytes) -> list[np.ndarray]:
-    n = int(np.frombuffer(blob, np.int64, 1)[0])
-    head = np.frombuffer(blob, np.int64, 2 * n, 8).reshape(n, 2)
-    out, at = [], 8 + 16 * n
-    for kind, size in head.tolist():
-        out.append(np.frombuffer(blob[at : at + size], np.dtype(chr(kind))))
-        at += size
-    return out
-
-
 def runs(texts: list[bytes], length: int = LENGTH, anchor: int = ANCHOR) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Runs of windows with the same anchor: (text, first window, windows, anchor)."""
     buffer = Buffer(texts)
@@ -89,135 +75,87 @@ def runs(texts: list[bytes], length: int = LENGTH, anchor: int = ANCHOR) -> tupl
     place = at - (ends - windows)[text]
     value = least[buffer.starts[text] + place]
     new = np.ones(len(at), bool)
-    new[1:] = (text[1:] != text[:-1]) | (value[1:] != value[:-1]) | (place[1:] % _LONGEST_RUN == 0)
+    new[1:] = (text[1:] != text[:-1]) | (value[1:] != value[:-1])
     first = np.flatnonzero(new)
-    return text[first], place[first], np.diff(np.concatenate([first, [len(at)]])), value[first]
-
-
-def _schema_rows(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], names=["bucket", "kind", "blob"])
+    size = np.diff(np.concatenate([first, [len(at)]]))
+    if len(size) and size.max() > _LONGEST_RUN:  # periodic text
+        parts = -(-size // _LONGEST_RUN)
+        step = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+        first, size = np.repeat(first, parts) + step * _LONGEST_RUN, np.minimum(np.repeat(size, parts) - step * _LONGEST_RUN, _LONGEST_RUN)
+    return text[first], place[first], size, value[first]
 
 
-_BLOBS = "bucket int, kind int, blob binary"
-
-
-def _bucket(value: np.ndarray, buckets: int) -> np.ndarray:
-    return ((value >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int64)
-
-
-def _slices(bucket: np.ndarray) -> list[tuple[int, int, int]]:
-    """(bucket, from, to) of sorted buckets."""
-    cuts = np.flatnonzero(np.diff(bucket)) + 1
-    return [(int(bucket[a]), int(a), int(b)) for a, b in zip(np.concatenate([[0], cuts]), np.concatenate([cuts, [len(bucket)]])) if b > a]
+def _answers(owner: np.ndarray, first: np.ndarray, count: np.ndarray, groups: int) -> list[tuple[int, bytes]]:
+    """(group of documents, blob of their runs)."""
+    group = (owner % np.uint64(groups)).astype(np.int64)
+    order = np.lexsort((first, owner, group))
+    owner, first, count = owner[order], first[order], count[order]
+    return [(g, pack((owner[a:b], 5), (first[a:b], 4), (count[a:b], 1))) for g, a, b in slices(group[order])]
 
 
-def _answers(owner: np.ndarray, first: np.ndarray, count: np.ndarray, table: np.ndarray, groups: int) -> list[tuple[int, bytes]]:
-    """(group of documents, blob of their runs). table: doc_id and tag of each owner."""
-    group = (table[:, 0] % 2147483629 * 16807 % 2147483647 % groups)[owner]
-    order = np.lexsort((first, owner, group))
-    out = []
-    for g, a, b in _slices(group[order]):
-        some = order[a:b]
-        used, index = np.unique(owner[some], return_inverse=True)
-        out.append((g, pack(table[used].reshape(-1), index.astype(np.uint32), first[some].astype(np.uint32), count[some].astype(np.uint16))))
-    return out
+def _removals(owner: np.ndarray, doc_id: np.ndarray, first: np.ndarray, count: np.ndarray, groups: int) -> list[tuple[int, bytes]]:
+    """As _answers(), with the documents' ids."""
+    group = (owner % np.uint64(groups)).astype(np.int64)
+    order = np.lexsort((first, doc_id, owner, group))
+    owner, doc_id, first, count = owner[order], doc_id[order], first[order], count[order]
+    return [(g, pack((owner[a:b], 5), (doc_id[a:b], 8), (first[a:b], 4), (count[a:b], 4))) for g, a, b in slices(group[order])]
 
 
 def emit_anchors(batches: Iterator[pa.RecordBatch], buckets: int, groups: int) -> Iterator[pa.RecordBatch]:
-    """Kind 0: anchors for a bucket. Kind 1: runs that this task knows to be shared, for a group of documents."""
-    held: list[tuple] = []
-    sizes = [0, 0]
+    """Kind 0: anchors for a bucket (count 0: two documents of the task have it). Kind 1: runs that this task knows to be shared, for a group of documents."""
+    held: list[tuple[np.ndarray, ...]] = []
+    size = 0
 
     def flush() -> pa.RecordBatch:
-        table = np.concatenate([h[0] for h in held])
-        owner, first, count, value = (np.concatenate([h[i] for h in held]) for i in (1, 2, 3, 4))
+        owner, first, count, value = (np.concatenate([h[i] for h in held]) for i in range(4))
         held.clear()
-        sizes[:] = [0, 0]
-        order = np.argsort(value, kind="stable")
+        order = np.argsort(value)
         owner, first, count, value = owner[order], first[order], count[order], value[order]
-        shared, start = _had_by_two(value, table[owner, 0], np.zeros(len(value), bool))
-        rows = [(g, 1, blob) for g, blob in _answers(owner[shared], first[shared], count[shared], table, groups)] if shared.any() else []
+        shared, start = had_by_two(value, owner, np.zeros(len(value), bool))
+        rows = [(g, 1, blob) for g, blob in _answers(owner[shared], first[shared], count[shared], groups)]
         sent = ~shared | start  # one for all of a shared anchor
-        sure = shared[sent]
+        count[shared] = 0
         owner, first, count, value = owner[sent], first[sent], count[sent], value[sent]
-        for b, x, y in _slices(_bucket(value, buckets)):
-            used, index = np.unique(owner[x:y], return_inverse=True)
-            kind = np.uint16 if len(used) < 1 << 16 else np.uint32
-            low = value[x:y]
-            rows.append((b, 0, pack(table[used].reshape(-1), (low >> np.uint64(32)).astype(np.uint32) >> np.uint32(8), (low & np.uint64(0xFFFFFFFF)).astype(np.uint32), index.astype(kind), first[x:y].astype(np.uint32), np.where(sure[x:y], 0, count[x:y]).astype(np.uint16))))
-        return _schema_rows(rows)
-
-    for batch, texts in text_chunks(batches, "text"):
+        rows += [(b, 0, pack((value[x:y], 5), (owner[x:y], 5), (first[x:y], 4), (count[x:y], 1))) for b, x, y in slices(bucket_of(value, buckets))]
+        return batch_of(rows)
+
+    for batch, texts in text_chunks(batches, "text", TEXT_BYTES):
         text, first, count, value = runs(texts)
-        ids = np.column_stack([batch.column("doc_id").to_numpy(), batch.column("tag").to_numpy()]).astype(np.int64)
-        held.append((ids, text + sizes[0], first, count, value))
-        sizes[0] += len(texts)
-        sizes[1] += len(value)
-        if sizes[1] >= FLUSH:
+        held.append((batch.column("owner").to_numpy().astype(np.uint64)[text], first.astype(np.uint32), count.astype(np.uint8), value))
+        size += len(value)
+        if size >= FLUSH:
             yield flush()
-    if sizes[1]:
+            size = 0
+    if size:
         yield flush()
 
 
-def _had_by_two(value: np.ndarray, who: np.ndarray, sure: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of entries sorted by value: whether two documents have the value (or one entry is sure of it), and which entries are the first of theirs."""
-    start = np.ones(len(value), bool)
-    start[1:] = value[1:] != value[:-1]
-    run = np.cumsum(start) - 1
-    low = np.minimum.reduceat(who, np.flatnonzero(start)) if len(who) else who
-    differs = (who != low[run]) | sure if len(who) else sure
-    return np.bincount(run, differs, len(low))[run] > 0, start
-
-
 def find_shared(group: pa.Table, groups: int) -> pa.Table:
     """The runs of a bucket whose anchor another document has, too, by group of documents."""
-    tables, parts, base, out = [], [], 0, []
-    for kind, blob in zip(group.column("kind").to_pylist(), group.column("blob").to_pylist()):
-        if kind == 1:
-            continue
-        table, high, low, index, first, count = unpack(blob)
-        tables.append(table.reshape(-1, 2))
-        parts.append(((high.astype(np.uint64) << np.uint64(40)) | low.astype(np.uint64), index.astype(np.int64) + base, first, count))
-        base += len(tables[-1])
-    if parts:
-        table = np.concatenate(tables)
-        value, owner, first, count = (np.concatenate([p[i] for p in parts]) for i in range(4))
-        order = np.argsort(value, kind="stable")
-        value, owner, first, count = value[order], owner[order], first[order], count[order]
-        shared, _ = _had_by_two(value, table[owner, 0], count == 0)
-        shared &= count > 0
-        out = _answers(owner[shared], first[shared], count[shared], table, groups) if shared.any() else []
+    value, owner, first, count = joined(blobs_of(group, 0), 4)
+    order = np.argsort(value, kind="stable")
+    value, owner, first, count = value[order], owner[order], first[order], count[order]
+    shared, _ = had_by_two(value, owner, count == 0)
+    shared &= count > 0
+    out = _answers(owner[shared], first[shared], count[shared], groups)
     return pa.table({"grp": pa.array([g for g, _ in out], pa.int32()), "blob": pa.array([b for _, b in out], pa.binary())})
 
 
-def _runs_of(replies: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """doc_id, tag, first and count of the runs in some answers."""
-    parts = []
-    for blob in replies:
-        table, index, first, count = unpack(blob)
-        table = table.reshape(-1, 2)[index]
-        parts.append((table[:, 0], table[:, 1], first.astype(np.int64), count.astype(np.int64)))
-    if not parts:
-        none = np.zeros(0, np.int64)
-        return none, none, none, none
-    return tuple(np.concatenate([p[i] for p in parts]) for i in range(4))
-
-
-def _lined_up(docs: pa.Table, doc_id: np.ndarray, tag: np.ndarray) -> np.ndarray:
-    """For each (doc_id, tag) its row in docs (each pair is there once)."""
-    have = np.column_stack([docs.column("doc_id").to_numpy(), docs.column("tag").to_numpy()]).astype(np.int64)
-    order = np.lexsort((have[:, 1], have[:, 0]))
+def _rows_with(docs: pa.Table, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (place in owner, row of docs) of equal owners; more than one row may have an owner."""
+    have = docs.column("owner").to_numpy().astype(np.uint64)
+    order = np.argsort(have, kind="stable")
     have = have[order]
-    joined = have.view([("a", np.int64), ("b", np.int64)]).reshape(-1)
-    asked = np.ascontiguousarray(np.column_stack([doc_id, tag]).astype(np.int64)).view([("a", np.int64), ("b", np.int64)]).reshape(-1)
-    uniq, inverse = np.unique(asked, return_inverse=True)
-    at = np.array([order[k] if (k := int(np.searchsorted(joined, u))) < len(joined) and joined[k] == u else -1 for u in uniq], np.int64)
-    return at[inverse] if len(uniq) else np.zeros(0, np.int64)
+    low, high = np.searchsorted(have, owner, "left"), np.searchsorted(have, owner, "right")
+    n = high - low
+    place = np.repeat(np.arange(len(owner)), n)
+    step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    return place, order[low[place] + step]
 
 
 def _once(docs: pa.Table) -> pa.Table:
-    """One row of each (doc_id, tag)."""
-    keys = list(zip(docs.column("doc_id").to_pylist(), docs.column("tag").to_pylist()))
+    """One row of each (doc_id, owner): repeated rows are one document."""
+    keys = list(zip(docs.column("doc_id").to_pylist(), docs.column("owner").to_pylist()))
     seen: set = set()
     keep = [i for i, k in enumerate(keys) if not (k in seen or seen.add(k))]
     return docs if len(keep) == len(keys) else docs.take(keep)
@@ -226,52 +164,42 @@ def _once(docs: pa.Table) -> pa.Table:
 def emit_segments(docs: pa.Table, replies: pa.Table, buckets: int, groups: int) -> pa.Table:
     """The bytes of the shared runs of a group of documents. Kind 0: different runs with the smallest document that has each, for a bucket by anchor. Kind 1: windows that are removed for sure."""
     docs = _once(docs)
-    doc_id, tag, first, count = _runs_of(replies.column("blob").to_pylist())
-    if not docs.num_rows or not len(doc_id):
-        return _empty_blobs()
-    row = _lined_up(docs, doc_id, tag)
+    owner, first, count = joined(replies.column("blob").to_pylist(), 3)
+    place, row = _rows_with(docs, owner) if docs.num_rows else (np.zeros(0, np.int64),) * 2
+    if not len(place):
+        return pa.Table.from_batches([batch_of([])])
     texts = [t for c in docs.column("text").chunks for t in texts_of(c)]
-    order = np.lexsort((first, row))
-    doc_id, tag, first, count, row = doc_id[order], tag[order], first[order], count[order], row[order]
+    sizes = np.fromiter((len(t) for t in texts), np.int64, len(texts))
+    owner, first, count = owner[place], first[place].astype(np.int64), count[place].astype(np.int64)
+    fits = first + count + LENGTH - 1 <= sizes[row]  # a run of another document that shares the owner may not
+    owner, first, count, row = owner[fits], first[fits], count[fits], row[fits]
     whole = b"".join(texts)
-    base = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
-    begins = base[row] + first
-    # equal runs, by two hashes of their bytes
+    begins = (np.cumsum(sizes) - sizes)[row] + first
+    doc_id = docs.column("doc_id").to_numpy()[row]
     buffer = Buffer([whole])
     hashes = buffer.hashes(begins, begins + count + LENGTH - 1)
     anchors = _anchor_of(buffer, begins)
-    order = np.lexsort((first, tag, doc_id, hashes))
+    order = np.lexsort((first, owner, doc_id, hashes))
     h, d = hashes[order], doc_id[order]
     start = np.ones(len(h), bool)
     start[1:] = h[1:] != h[:-1]
-    run = np.cumsum(start) - 1
-    least = d[start][run]
-    gone = order[d > least]
-    stay = order[d == least]
+    segment = np.cumsum(start) - 1
+    stays = d == d[start][segment]
     rows = []
-    if len(gone):
-        rows += [(g, 1, blob) for g, blob in _answers(*_by_owner(doc_id[gone], tag[gone], first[gone], count[gone]), groups)]
-    # runs that stay: owners of a kept document point to the segment
-    segment = np.zeros(len(h), np.int64)
-    segment[order] = run
+    gone = order[~stays]
+    rows += [(g, 1, blob) for g, blob in _removals(owner[gone], doc_id[gone], first[gone], count[gone], groups)]
     head = order[start]
-    bucket = _bucket(anchors[head], buckets)
-    by = np.argsort(bucket, kind="stable")
-    stay_of = np.argsort(segment[stay], kind="stable")
-    stay = stay[stay_of]
-    bounds = np.searchsorted(segment[stay], np.arange(len(head) + 1))
-    for b, x, y in _slices(bucket[by]):
+    by = np.argsort(anchors[head], kind="stable")
+    stay, of = order[stays], segment[stays]  # sorted by segment
+    bounds = np.searchsorted(of, np.arange(len(head) + 1))
+    for b, x, y in slices(bucket_of(anchors[head][by], buckets)):
         seg = by[x:y]
-        members = np.concatenate([stay[bounds[s] : bounds[s + 1]] for s in seg])
-        which = np.repeat(np.arange(len(seg)), bounds[seg + 1] - bounds[seg])
-        sizes = count[head[seg]] + LENGTH - 1
-        data = b"".join(whole[a : a + n] for a, n in zip(begins[head[seg]].tolist(), sizes.tolist()))
-        rows.append((b, 0, pack(sizes.astype(np.uint32), np.frombuffer(data, np.uint8), which.astype(np.uint32), doc_id[members], tag[members], first[members].astype(np.uint32))))
-    return pa.Table.from_batches([_schema_rows(rows)]) if rows else _empty_blobs()
-
-
-def _empty_blobs() -> pa.Table:
-    return pa.table({"bucket": pa.array([], pa.int32()), "kind": pa.array([], pa.int32()), "blob": pa.array([], pa.binary())})
+        n = bounds[seg + 1] - bounds[seg]
+        member = stay[np.repeat(bounds[seg] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        long = count[head[seg]] + LENGTH - 1
+        data = b"".join(whole[a : a + m] for a, m in zip(begins[head[seg]].tolist(), long.tolist()))
+        rows.append((b, 0, pack((anchors[head[seg]], 4), (long, 4), (np.frombuffer(data, np.uint8), 1), (n, 4), (doc_id[member], 8), (owner[member], 5), (first[member], 4))))
+    return pa.Table.from_batches([batch_of(rows)])
 
 
 def _anchor_of(buffer: Buffer, begins: np.ndarray) -> np.ndarray:
@@ -282,71 +210,87 @@ def _anchor_of(buffer: Buffer, begins: np.ndarray) -> np.ndarray:
     return least
 
 
-def _by_owner(doc_id: np.ndarray, tag: np.ndarray, first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    table, owner = np.unique(np.column_stack([doc_id, tag]), axis=0, return_inverse=True)
-    return owner.reshape(-1), first, count, table
+def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0]+1, ... for each start and length, one after another."""
+    ends = np.cumsum(lengths)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
 
 
 def judge_segments(group: pa.Table, groups: int) -> pa.Table:
     """The removed windows of a bucket's runs, by group of documents."""
+    anchor, sizes, data, n, doc_id, owner, first = joined(blobs_of(group, 0), 7)
+    sizes, n, data = sizes.astype(np.int64), n.astype(np.int64), data.astype(np.uint8)
+    doc_id, first = doc_id.view(np.int64), first.astype(np.int64)
+    begins, at = np.cumsum(sizes) - sizes, np.cumsum(n) - n
+    order = np.argsort(anchor, kind="stable")
     out: list[tuple[int, bytes]] = []
-    sizes, datas, which, doc_id, tag, first, base = [], [], [], [], [], [], 0
-    for kind, blob in zip(group.column("kind").to_pylist(), group.column("blob").to_pylist()):
-        if kind == 0:
-            s, data, w, d, t, f = unpack(blob)
-            sizes.append(s), datas.append(data), which.append(w.astype(np.int64) + base), doc_id.append(d), tag.append(t), first.append(f)
-            base += len(s)
-    if sizes:
-        sizes, data = np.concatenate(sizes).astype(np.int64), np.concatenate(datas)
-        which, doc_id, tag, first = np.concatenate(which), np.concatenate(doc_id), np.concatenate(tag), np.concatenate(first).astype(np.int64)
-        begins = np.cumsum(sizes) - sizes
-        owner_of = np.full(len(sizes), np.iinfo(np.int64).max)
-        np.minimum.at(owner_of, which, doc_id)
-        # different tasks may have sent equal runs: they share their windows in the suffix array
-        windows = sizes - LENGTH + 1
-        segment = np.repeat(np.arange(len(sizes)), sizes)
-        whole = np.arange(len(data)) - begins[segment] < windows[segment]
-        order = suffix_array(data, LENGTH)
-        order = order[whole[order]]
-        same = common_prefixes(order, words_at(data), LENGTH) >= LENGTH
-        run = np.cumsum(~same) - 1
-        least = np.minimum.reduceat(owner_of[segment[order]], np.flatnonzero(~same))
-        smallest = np.zeros(len(data), np.int64)
-        smallest[order] = least[run]
-        # windows of each owner for which a smaller document has an equal one
-        n = windows[which]
-        ends = np.cumsum(n)
-        member = np.repeat(np.arange(len(which)), n)
-        step = np.arange(ends[-1]) - (ends - n)[member]
-        gone = smallest[begins[which][member] + step] < doc_id[member]
-        edge = np.ones(len(gone), bool)
-        edge[1:] = (gone[1:] != gone[:-1]) | (member[1:] != member[:-1])
-        at = np.flatnonzero(edge)
-        length = np.diff(np.concatenate([at, [len(gone)]]))
-        bad = gone[at]
-        at, length = at[bad], length[bad]
-        if len(at):
-            m = member[at]
-            out = _answers(*_by_owner(doc_id[m], tag[m], first[m] + step[at], length), groups)
+    # blocks of about BLOCK_BYTES; equal windows have equal anchors, so they never are in two blocks
+    ends = np.cumsum(sizes[order])
+    low = 0
+    while low < len(order):
+        high = int(np.searchsorted(ends, (ends[low - 1] if low else 0) + BLOCK_BYTES, "right"))
+        high = max(high, low + 1)
+        while high < len(order) and anchor[order[high]] == anchor[order[high - 1]]:
+            high += 1
+        some = order[low:high]
+        members = _ranges(at[some], n[some])
+        block = _judge(data[_ranges(begins[some], sizes[some])], sizes[some], np.repeat(np.arange(len(some)), n[some]), doc_id[members])
+        if block is not None:
+            m, step, length = block
+            m = members[m]
+            out += _removals(owner[m], doc_id[m], first[m] + step, length, groups)
+        low = high
     return pa.table({"grp": pa.array([g for g, _ in out], pa.int32()), "blob": pa.array([b for _, b in out], pa.binary())})
 
 
-_RESULT = "doc_id long, tag long, n_removed long, n_spans long, kept_sha256 string, span_starts array<long>, span_ends array<long>"
+def _judge(data: np.ndarray, sizes: np.ndarray, which: np.ndarray, doc_id: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """Of segments (data, sizes) and the documents that have each (which, doc_id): runs of windows of which a smaller document has an equal one, as (member, first window, windows)."""
+    begins = np.cumsum(sizes) - sizes
+    # equal segments are laid down once
+    hashes = Buffer([data.tobytes()]).hashes(begins, begins + sizes)
+    _, kept, same_as = np.unique(hashes, return_index=True, return_inverse=True)
+    data = data[_ranges(begins[kept], sizes[kept])]
+    sizes, which = sizes[kept], same_as[which]
+    begins = np.cumsum(sizes) - sizes
+    least = np.full(len(sizes), np.iinfo(np.int64).max)
+    np.minimum.at(least, which, doc_id)
+    windows = sizes - LENGTH + 1
+    segment = np.repeat(np.arange(len(sizes)), sizes)
+    whole = np.arange(len(data)) - begins[segment] < windows[segment]
+    order = suffix_array(data, LENGTH)
+    order = order[whole[order]]
+    new = common_prefixes(order, words_at(data), LENGTH) < LENGTH
+    smallest = np.zeros(len(data), np.int64)
+    smallest[order] = np.minimum.reduceat(least[segment[order]], np.flatnonzero(new))[np.cumsum(new) - 1]
+    n = windows[which]
+    member = np.repeat(np.arange(len(which)), n)
+    step = _ranges(np.zeros(len(n), np.int64), n)
+    gone = smallest[begins[which][member] + step] < doc_id[member]
+    edge = np.ones(len(gone), bool)
+    edge[1:] = (gone[1:] != gone[:-1]) | (member[1:] != member[:-1])
+    at = np.flatnonzero(edge)
+    length = np.diff(np.concatenate([at, [len(gone)]]))
+    bad = gone[at]
+    return (member[at[bad]], step[at[bad]], length[bad]) if bad.any() else None
+
+
+_RESULT = "doc_id long, owner long, n_removed long, n_spans long, kept_sha256 string, span_starts array<long>, span_ends array<long>"
 
 
 def cut_out(docs: pa.Table, replies: pa.Table) -> pa.Table:
     """What is left of a group of documents."""
     docs = _once(docs)
-    doc_id, tag, first, count = _runs_of(replies.column("blob").to_pylist())
-    names = ["doc_id", "tag", "n_removed", "n_spans", "kept_sha256", "span_starts", "span_ends"]
+    owner, doc_id, first, count = joined(replies.column("blob").to_pylist(), 4)
+    names = ["doc_id", "owner", "n_removed", "n_spans", "kept_sha256", "span_starts", "span_ends"]
     out: list[list] = [[] for _ in names]
-    if docs.num_rows and len(doc_id):
-        row = _lined_up(docs, doc_id, tag)
+    if docs.num_rows and len(owner):
+        place, row = _rows_with(docs, owner)
+        mine = docs.column("doc_id").to_numpy()[row] == doc_id[place].view(np.int64)
+        place, row = place[mine], row[mine]
+        first, count = first[place].astype(np.int64), count[place].astype(np.int64)
         texts = [t for c in docs.column("text").chunks for t in texts_of(c)]
         order = np.argsort(row, kind="stable")
-        for r, x, y in _slices(row[order]):
-            if r < 0:
-                continue
+        for r, x, y in slices(row[order]):
             some, text = order[x:y], texts[r]
             turns = np.zeros(len(text) + 1, np.int64)
             np.add.at(turns, first[some], 1)
@@ -354,7 +298,7 @@ def cut_out(docs: pa.Table, replies: pa.Table) -> pa.Table:
             gone = np.cumsum(turns[:-1]) > 0
             edges = np.flatnonzero(np.diff(np.concatenate([[0], gone.view(np.int8), [0]])))
             kept = np.frombuffer(text, np.uint8)[~gone].tobytes()
-            values = (docs.column("doc_id")[r].as_py(), docs.column("tag")[r].as_py(), int(gone.sum()), len(edges) // 2, hashlib.sha256(kept).hexdigest(), edges[::2].tolist(), edges[1::2].tolist())
+            values = (docs.column("doc_id")[r].as_py(), docs.column("owner")[r].as_py(), int(gone.sum()), len(edges) // 2, hashlib.sha256(kept).hexdigest(), edges[::2].tolist(), edges[1::2].tolist())
             for column, value in zip(out, values):
                 column.append(value)
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64())]
@@ -364,49 +308,43 @@ def cut_out(docs: pa.Table, replies: pa.Table) -> pa.Table:
 def passages(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, span_starts and span_ends (bytes, ends exclusive) of every row of docs."""
     spark = docs.sparkSession
-    buckets = groups = 4 * partitions(spark)
+    groups = 4 * partitions(spark)
+    buckets = 2 * groups
     text = F.coalesce(F.col("text"), F.lit(""))
-    read = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc_id"), F.xxhash64(text).alias("tag"), text.alias("text"))
-    anchors = read.mapInArrow(lambda b: emit_anchors(b, buckets, groups), _BLOBS)
-    anchors = anchors.select("*", F.when(F.col("kind") == 0, F.col("bucket")).otherwise(-1 - F.col("bucket")).alias("to"))
+    read = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc_id"), text.alias("text"))
+    # 40 bits that stand for a document; where two share them, both are looked at
+    read = read.select("doc_id", F.xxhash64("doc_id", "text").bitwiseAND(F.lit((1 << 40) - 1)).alias("owner"), "text")
+    to = F.when(F.col("kind") == 0, F.col("bucket")).otherwise(-1 - F.col("bucket")).alias("to")
+
+    def answered(work):
+        def run(group: pa.Table) -> pa.Table:
+            if group.column("kind")[0].as_py() == 1:  # known already
+                return pa.table({"grp": group.column("bucket"), "blob": group.column("blob")})
+            return work(group, groups)
 
-    def answer(group: pa.Table) -> pa.Table:
-        if group.column("kind")[0].as_py() == 1:
-            return pa.table({"grp": group.column("bucket"), "blob": group.column("blob")})
-        return find_shared(group, groups)
+        return run
 
-    shared = written(anchors.groupBy("to").applyInArrow(answer, "grp int, blob binary"), "shared")
+    anchors = read.select("owner", "text").mapInArrow(lambda b: emit_anchors(b, buckets, groups), ROWS)
+    shared = written(anchors.select("*", to).groupBy("to").applyInArrow(answered(find_shared), "grp int, blob binary"), "shared")
 
-    def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def owners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            some = [np.unique(unpack(b)[0].reshape(-1, 2)[:, 0]) for b in batch.column("blob").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(some)) if some else np.zeros(0, np.int64))], names=["doc_id"])
-
-    with_shared = written(shared.select("blob").mapInArrow(ids, "doc_id long").distinct(), "shared-ids")
-    marked = picked(read, F.col("doc_id"), with_shared, F.col("doc_id"))
-    grouped = _with_group(marked, groups)
-    segments = grouped.groupBy("grp").cogroup(shared.groupBy("grp")).applyInArrow(lambda a, b: emit_segments(a, b, buckets, groups), _BLOBS)
-    segments = segments.select("*", F.when(F.col("kind") == 0, F.col("bucket")).otherwise(-1 - F.col("bucket")).alias("to"))
-
-    def judge(group: pa.Table) -> pa.Table:
-        if group.column("kind")[0].as_py() == 1:
-            return pa.table({"grp": group.column("bucket"), "blob": group.column("blob")})
-        return judge_segments(group, groups)
-
-    removed = written(segments.groupBy("to").applyInArrow(judge, "grp int, blob binary"), "removed")
-    again = written(removed.select("blob").mapInArrow(ids, "doc_id long").distinct(), "removed-ids")
-    cut = _with_group(picked(read, F.col("doc_id"), again, F.col("doc_id")), groups).groupBy("grp").cogroup(removed.groupBy("grp")).applyInArrow(cut_out, _RESULT)
-    every = read.select("doc_id", "tag", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("whole"))
-    joined = every.join(cut, ["doc_id", "tag"], "left")
+            some = [np.unique(unpack(b)[0]) for b in batch.column("blob").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate([np.zeros(0, np.uint64), *some])).astype(np.int64))], names=["owner"])
+
+    def of(replies: DataFrame) -> DataFrame:
+        """The documents that have replies, with their group."""
+        with_replies = replies.select("blob").mapInArrow(owners, "owner long")
+        return picked(read, F.col("owner"), with_replies, F.col("owner")).withColumn("grp", F.pmod("owner", F.lit(groups)).cast("int"))
+
+    segments = of(shared).groupBy("grp").cogroup(shared.groupBy("grp")).applyInArrow(lambda a, b: emit_segments(a, b, buckets, groups), ROWS)
+    removed = written(segments.select("*", to).groupBy("to").applyInArrow(answered(judge_segments), "grp int, blob binary"), "removed")
+    cut = of(removed).groupBy("grp").cogroup(removed.groupBy("grp")).applyInArrow(cut_out, _RESULT)
+    every = read.select("doc_id", "owner", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("whole"))
+    joined = every.join(cut, ["doc_id", "owner"], "left")
     none = F.array().cast("array<bigint>")
     return joined.select(F.nullif(F.col("doc_id"), F.lit(_NO_ID)).alias("doc_id"), "n_bytes", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"), F.coalesce("kept_sha256", "whole").alias("kept_sha256"), F.coalesce("span_starts", none).alias("span_starts"), F.coalesce("span_ends", none).alias("span_ends"))
 
 
-def _with_group(docs: DataFrame, groups: int) -> DataFrame:
-    """docs with the group that _answers() has for their doc_id."""
-    scrambled = F.pmod("doc_id", F.lit(2147483629)) * 16807 % 2147483647
-    return docs.withColumn("grp", F.pmod(scrambled, F.lit(groups)).cast("int"))
-
-
 def op5(docs: DataFrame) -> DataFrame:
     return passages(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
