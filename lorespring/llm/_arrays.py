@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are held as numpy arrays at a time (a longer text is one chunk by itself).
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 19
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -31,14 +31,14 @@ _powers: dict[int, np.ndarray] = {}
 
 
 def _power(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1), modulo 2**64."""
+    """base**0 .. base**(n-1), modulo 2**64. Tables for usual chunks are kept; a longer one is for one use."""
     have = _powers.get(base)
     if have is None or len(have) < n:
-        size = 1 << max(12, int(n).bit_length())
-        have = np.ones(size, np.uint64)
-        have[1:] = base
-        have = np.multiply.accumulate(have)
-        _powers[base] = have
+        have = np.full(max(n, 2 * CHUNK_BYTES), base, np.uint64)
+        have[0] = 1
+        np.multiply.accumulate(have, out=have)
+        if n <= 2 * CHUNK_BYTES:
+            _powers[base] = have
     return have[:n]
 
 

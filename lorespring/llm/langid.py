@@ -19,6 +19,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -157,9 +158,14 @@ ACCEPT = 0.5
 
 def accepted(docs: DataFrame, model: Model, least: float = ACCEPT) -> DataFrame:
     """The documents whose language is told with a posterior of at least `least`; their columns are unchanged."""
-    keep = [c for c in docs.columns]
-    told = predict(docs, model, keep)
-    return told.where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(*keep)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("boolean")
+    def told(text: pd.Series) -> pd.Series:  # only the text goes to Python
+        names, scores = shared.value.predict(text.tolist())
+        return pd.Series([n != "und" for n in names]) & (scores >= least)
+
+    return docs.where(told(F.col("text")))
 
 
 def op1(docs: DataFrame) -> DataFrame:

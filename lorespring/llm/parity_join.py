@@ -56,7 +56,7 @@ SEEDS = 12
 #: Entries that a task packs at a time; shingles of a block of a component.
 FLUSH, BLOCK_SHINGLES = 1 << 19, 1 << 20
 #: Bytes of text that a task has as arrays at a time.
-TEXT_BYTES = 1 << 20
+TEXT_BYTES = 1 << 19
 _LOW = np.uint64((1 << 40) - 1)
 
 _BOUNDS = [SMALL]
