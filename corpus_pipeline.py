@@ -9,31 +9,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lorespring.llm import langid, mixing, packing, parity_join, stream_dedup
-from lorespring.llm._spark import written
+from lorespring.llm._spark import small_batches, written
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts without a letter and those whose language isn't told with a posterior of 1/2."""
+    small_batches(spark)
     return langid.accepted(docs, langid.fit(docs))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one of equal texts."""
+    small_batches(spark)
     return stream_dedup.unique(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group that links of 5-word shingles with a Jaccard similarity of 0.8 join."""
+    small_batches(spark)
     return parity_join.representatives(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes the words of each source that its target asks for: whole documents, once or twice, and a part of one or two a shard."""
+    small_batches(spark)
     return mixing.mixed(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts the texts to tokens and packs them into sequences."""
+    small_batches(spark)
     return packing.op8(docs)
 
 
