@@ -100,16 +100,16 @@ def unwrapped_response(text: Column) -> Column:
 
 @F.pandas_udf(T.StringType())
 def without_repetition(text: pd.Series) -> pd.Series:
-    """Cuts a text of 200 or more code points where a stretch of 40, 50 ... 100 of them comes again within twice its length."""
+    """Cuts a text of 200 or more code points after a stretch of 40, 50 ... 100 of them that begins again within twice its length after its end. Stretches that are mostly blank don't count."""
 
     def clean(t: str | None) -> str | None:
         if t is None or len(t) < 200:
             return t
         for size in range(40, 101, 10):
             for at in range(len(t) - 2 * size):
-                again = t.find(t[at : at + size], at + size)
-                if 0 <= again < at + 2 * size:
-                    return t[:again].strip() + "…"
+                stretch, end = t[at : at + size], at + size
+                if len(stretch.strip()) >= 20 and t.find(stretch, end, end + 3 * size - 1) >= 0:
+                    return t[:end].strip() + "..."
         return t
 
     return text.map(clean)

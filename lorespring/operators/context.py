@@ -27,10 +27,12 @@ def expanded(hits: DataFrame, chunks: DataFrame, n: int) -> DataFrame:
     return chronological(merged)
 
 
-def _winner(hits: DataFrame, score: Column, least: float) -> DataFrame:
-    """query_id and the source with the largest sum of score over `least`; ties go to the source that comes first."""
-    sums = hits.groupBy("query_id", "source_id").agg(F.round(F.sum(score), 6).alias("total"), F.min("rank").alias("seen")).where(F.col("total") > least)
-    order = W.Window.partitionBy("query_id").orderBy(F.desc("total"), "seen")
+def _winner(hits: DataFrame, points: Column) -> DataFrame:
+    """query_id and its winning source: the one with most points or, in queries where none has a point, the one with the largest sum of similarities over -1. Ties go to the source that comes first."""
+    sums = hits.groupBy("query_id", "source_id").agg(F.sum(points).alias("points"), F.round(F.sum("similarity"), 6).alias("total"), F.min("rank").alias("seen"))
+    most = F.max("points").over(W.Window.partitionBy("query_id"))
+    sums = sums.withColumn("score", F.when(most > 0, F.col("points")).when(F.col("total") > -1, F.col("total"))).where("score IS NOT NULL")
+    order = W.Window.partitionBy("query_id").orderBy(F.desc("score"), "seen")
     return sums.withColumn("place", F.row_number().over(order)).where("place = 1").select("query_id", F.col("source_id").alias("winner"))
 
 
@@ -41,7 +43,7 @@ def _narrowed(hits: DataFrame, winners: DataFrame) -> DataFrame:
 
 
 def best_source_by_score(hits: DataFrame) -> DataFrame:
-    return _narrowed(hits, _winner(hits, F.col("similarity"), -1.0))
+    return _narrowed(hits, _winner(hits, F.lit(0)))
 
 
 def best_source_by_text(hits: DataFrame, queries: DataFrame) -> DataFrame:
@@ -50,9 +52,7 @@ def best_source_by_text(hits: DataFrame, queries: DataFrame) -> DataFrame:
     asked = hits.join(queries.select("query_id", F.lower("query").alias("whole"), words.alias("words")), "query_id")
     text = F.lower("content")
     points = F.size(F.filter("words", lambda w: F.contains(text, w))) + F.when(F.contains(text, F.col("whole")), 100).otherwise(0)
-    by_text = _winner(asked, points, 0.0)
-    by_score = _winner(hits, F.col("similarity"), -1.0).join(by_text, "query_id", "left_anti")
-    return _narrowed(hits, by_text.unionByName(by_score))
+    return _narrowed(hits, _winner(asked, points))
 
 
 def chronological(hits: DataFrame) -> DataFrame:

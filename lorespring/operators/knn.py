@@ -61,6 +61,7 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int, query_id: str = "query
                 vid, qid = np.frombuffer(row["v_ids"], np.int64), np.frombuffer(row["q_ids"], np.int64)
                 both = qn[:, None] * vn[None, :]
                 sim = np.round(np.divide(q @ v.T, both, out=np.zeros_like(both), where=both > 0), 6) + 0.0
+                sim[np.isnan(both)] = np.nan
                 out = []
                 for i in range(len(qid)):
                     s = sim[i]
