@@ -38,7 +38,9 @@ def kept_state(narrow_path: str, schema, spark, trigger_files: int = 1000) -> Da
     settings = {
         "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
         "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-        "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200",
+        "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "96",
+        "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "8",
+        "spark.sql.streaming.stateStore.unloadOnCommit": "true",
         "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     }
     before = {k: spark.conf.get(k, None) for k in settings}
@@ -71,16 +73,16 @@ def dedup(docs: DataFrame) -> DataFrame:
     narrow.write.parquet(path)
     narrow = spark.read.schema(narrow.schema).parquet(path)
     state = kept_state(path, narrow.schema, spark)
-    checked = checked_groups(docs, state)
+    checked = checked_groups(docs, narrow, state)
     rows = narrow.join(checked, "digest")
     return rows.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("digest").alias("text_sha256"))
 
 
-def checked_groups(docs: DataFrame, state: DataFrame) -> DataFrame:
+def checked_groups(docs: DataFrame, narrow: DataFrame, state: DataFrame) -> DataFrame:
     """state, with the bytes of the texts behind every digest that was hit compared: more than one text stops the query."""
-    hit = state.where("group_size > 1").select("digest")
-    texts = docs.select(F.sha2(normal(F.col("text")), 256).alias("digest"), normal(F.col("text")).alias("t"))
-    sets = picked(texts, F.col("digest"), hit, F.col("digest")).groupBy("digest").agg(F.size(F.collect_set("t")).alias("n_texts"))
+    ids = narrow.join(state.where("group_size > 1").select("digest"), "digest", "left_semi").select("doc_id")
+    texts = picked(docs.select("doc_id", "text"), F.col("doc_id"), ids, F.col("doc_id")).select(normal(F.col("text")).alias("t"))
+    sets = texts.select(F.sha2("t", 256).alias("digest"), "t").groupBy("digest").agg(F.size(F.collect_set("t")).alias("n_texts"))
     joined = state.join(sets, "digest", "left")
     fine = F.when(F.col("n_texts") > 1, F.raise_error(F.lit("two texts share a SHA-256 digest")).cast("bigint")).otherwise(F.col("group_size"))
     return joined.select("digest", "keep_id", fine.alias("group_size"))
