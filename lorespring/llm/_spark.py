@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,7 +52,14 @@ BATCH_ROWS = 1000
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Lower the rows of an Arrow batch from Spark's default, which suits short rows, and let Python workers give large arrays back to the system."""
+    """Lower the rows of an Arrow batch from Spark's default, which suits short rows, and let Python workers give large arrays back to the system.
+
+    Unions don't claim their inputs' partitioning: Spark 4.1 can't zip such a one with a join's other side once AQE has changed one of them.
+    """
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+    paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(":")
+    if (here := str(Path(__file__).resolve().parents[2])) not in paths:  # workers import this package, too
+        spark.sparkContext.environment["PYTHONPATH"] = ":".join(filter(None, [here, *paths]))
     for name, value in (("MALLOC_MMAP_THRESHOLD_", "4194304"), ("MALLOC_TRIM_THRESHOLD_", "4194304"), ("MALLOC_ARENA_MAX", "2"), ("ARROW_DEFAULT_MEMORY_POOL", "system")):
         spark.sparkContext.environment.setdefault(name, value)
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) == 10_000:
