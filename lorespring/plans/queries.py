@@ -16,7 +16,7 @@ from pyspark.sql import window as W
 from ..functions import text as tx
 from ..functions import vectors as vx
 from ..operators import bm25, chunk, compress, context, embed, hybrid, knn, quality
-from ..sources import store
+from ..sources import scratch, store
 from ..streaming import incremental
 from . import service
 
@@ -501,6 +501,16 @@ def _(embeddings):
     return incremental.stats(_main_and_delta(embeddings)[1])
 
 
+@_register("streaming_ingest", "SELECT vec_id AS id, round(sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))), 6) AS norm FROM embeddings")
+def _(spark, embeddings, sf_dir):
+    """The vectors arrive as a stream of files; what the index then has."""
+    at = scratch.new_folder(spark, "delta")
+    stream = spark.readStream.schema(embeddings.schema).parquet(f"{sf_dir}/embeddings.parquet")
+    index = incremental.DeltaIndex(spark, f"{at}/index")
+    index.follow(stream.select(F.col("vec_id").alias("id"), "embedding"), f"{at}/checkpoint").awaitTermination()
+    return index.main().unionByName(index.delta()).select("id", F.round(vx.norm(F.col("embedding")), 6).alias("norm"))
+
+
 # --- quality ----------------------------------------------------------------------------
 
 
