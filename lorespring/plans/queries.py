@@ -505,7 +505,7 @@ def _(embeddings):
 def _(spark, embeddings, sf_dir):
     """The vectors arrive as a stream of files; what the index then has."""
     at = scratch.new_folder(spark, "delta")
-    stream = spark.readStream.schema(embeddings.schema).parquet(f"{sf_dir}/embeddings.parquet")
+    stream = spark.readStream.schema(embeddings.schema).parquet(f"{sf_dir}/embeddings.parque[t]")  # a file or a folder
     index = incremental.DeltaIndex(spark, f"{at}/index")
     index.follow(stream.select(F.col("vec_id").alias("id"), "embedding"), f"{at}/checkpoint").awaitTermination()
     return index.main().unionByName(index.delta()).select("id", F.round(vx.norm(F.col("embedding")), 6).alias("norm"))
