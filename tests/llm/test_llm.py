@@ -361,10 +361,31 @@ def test_lines(spark, rows, docs, empty):
     same_as_sql(unit_dedup.op6(docs), rows, unit_dedup.SQL)
     assert unit_dedup.op6(docs).agg(F.sum("n_removed")).first()[0] > 10
     assert unit_dedup.op6(empty).count() == 0
-    text = {i: t or "" for i, t, *_ in rows}
+    text = {i: (t or "").encode() for i, t, *_ in rows}
     for r in unit_dedup.dedup(docs).where("n_removed > 0").collect():
+        cut, at = b"", 0
         for a, b in zip(r.span_starts, r.span_ends):
-            assert "\n" not in text[r.doc_id][a:b] and len(text[r.doc_id][a:b].split()) >= unit_dedup.MIN_WORDS
+            assert len(text[r.doc_id][a:b].split()) >= unit_dedup.MIN_WORDS
+            cut, at = cut + text[r.doc_id][at:a], b
+        assert hashlib.sha256(cut + text[r.doc_id][at:]).hexdigest() == r.kept_sha256
+
+
+def test_units():
+    texts = ["", "a", "a. b", "x.!?\n\ny。z。", "。", "3.14 a\tb ?\n", "no mark\nA  B c"]
+    pattern = re.compile(r"[^.!?。\n]*(?:[.!?。]+|\n)|[^.!?。\n]+")
+    found = collections.defaultdict(dict)
+    doc, unit, n, d1, _ = unit_dedup.units_of([t.encode() for t in texts])
+    for i, u, k, d in zip(doc.tolist(), unit.tolist(), n.tolist(), d1.tolist()):
+        found[i][u] = (k, d)
+    same = {}
+    for i, t in enumerate(texts):
+        parts = pattern.findall(t)
+        assert [p.decode() for p in unit_dedup.parts_of(t.encode())] == parts
+        words = {u: WORD.findall(p.lower()) for u, p in enumerate(parts) if WORD.search(p)}
+        assert {u: k for u, (k, _) in found[i].items()} == {u: len(w) for u, w in words.items()}
+        for u, w in words.items():
+            assert same.setdefault(tuple(w), found[i][u][1]) == found[i][u][1]
+    assert len(set(same.values())) == len(same)
 
 
 def test_exact(spark, rows, docs, empty):
