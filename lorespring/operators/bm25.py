@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
@@ -36,11 +36,42 @@ def search(docs: DataFrame, queries: DataFrame, k: int, id_: str = "doc_id", tex
 
     Only tokens that some query asks for leave their document's row, already counted there.
     """
-    asked = queries.select(query_id, F.explode(bm25_tokens(F.col(query_text))).alias("term")).groupBy(query_id, "term").agg(F.count("*").alias("times"))
+    asked = _asked(queries, query_id, query_text)
     indexed = tokenised(docs, id_, text)
     found = indexed.select("doc_id", "doc_len", F.explode("tokens").alias("term")).join(asked.select("term").distinct(), "term", "left_semi").groupBy("doc_id", "doc_len", "term").agg(F.count("*").alias("tf"))
+    return _ranked(found, indexed.agg(F.count("*").alias("n"), F.avg("doc_len").alias("avgdl")), asked, k, query_id)
+
+
+class Index:
+    """The postings and lengths of a document set as tables in a folder, written once and searched often. Postings are sorted by term, so a search reads the row groups of its terms."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def build(self, docs: DataFrame, id_: str = "doc_id", text: str = "text") -> Index:
+        """Replace what is there by an index of docs."""
+        tokenised(docs, id_, text).select("doc_id", "doc_len").write.mode("overwrite").parquet(f"{self.path}/lengths")
+        terms = postings(docs, id_, text).join(self.spark.read.parquet(f"{self.path}/lengths"), "doc_id")
+        terms.repartitionByRange("term").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{self.path}/postings")
+        return self
+
+    def __len__(self) -> int:
+        """How many documents there are: an index of none isn't loaded."""
+        return self.spark.read.parquet(f"{self.path}/lengths").count()
+
+    def search(self, queries: DataFrame, k: int, query_id: str = "query_id", query_text: str = "query") -> DataFrame:
+        asked = _asked(queries, query_id, query_text)
+        found = self.spark.read.parquet(f"{self.path}/postings").join(asked.select("term").distinct(), "term", "left_semi")
+        totals = self.spark.read.parquet(f"{self.path}/lengths").agg(F.count("*").alias("n"), F.avg("doc_len").alias("avgdl"))
+        return _ranked(found, totals, asked, k, query_id)
+
+
+def _asked(queries: DataFrame, query_id: str, query_text: str) -> DataFrame:
+    return queries.select(query_id, F.explode(bm25_tokens(F.col(query_text))).alias("term")).groupBy(query_id, "term").agg(F.count("*").alias("times"))
+
+
+def _ranked(found: DataFrame, totals: DataFrame, asked: DataFrame, k: int, query_id: str) -> DataFrame:
     n_docs = found.groupBy("term").agg(F.count("*").alias("n_term"))
-    totals = indexed.agg(F.count("*").alias("n"), F.avg("doc_len").alias("avgdl"))
     scored = found.join(n_docs, "term").join(asked, "term").crossJoin(F.broadcast(totals))  # one row
     idf = F.ln((F.col("n") - F.col("n_term") + 0.5) / (F.col("n_term") + 0.5) + 1)
     part = idf * (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / F.col("avgdl")))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from ..functions.text import TERMINATORS, normal_sentence, sentences
+from ..functions.vectors import cosine_in_batches
 
 
 def compressed(docs: DataFrame, max_chars: int = 0, text: str = "text", id_: str = "doc_id") -> DataFrame:
@@ -37,10 +38,8 @@ def repeated_sentences(docs: DataFrame, text: str = "text", id_: str = "doc_id",
 
 def scored_sentences(texts: DataFrame, queries: DataFrame, embed, top: int = 10, least: float = 0.2) -> DataFrame:
     """(query_id, index, sentence, similarity): sentences of each query's text (query_id, text) by cosine to its embedding. embed: column of text -> column of vector."""
-    from ..functions.vectors import cosine
-
     parts = texts.select("query_id", F.posexplode(sentences(F.col("text"))).alias("index", "sentence")).where(F.trim("sentence") != "")
-    scored = parts.join(queries.select("query_id", "embedding"), "query_id").withColumn("similarity", F.round(cosine(embed(F.col("sentence")), F.col("embedding")), 6)).where(F.col("similarity") >= least)
+    scored = parts.join(queries.select("query_id", "embedding"), "query_id").withColumn("similarity", F.round(cosine_in_batches(embed(F.col("sentence")), F.col("embedding")), 6)).where(F.col("similarity") >= least)
     order = W.Window.partitionBy("query_id").orderBy(F.desc("similarity"), "index")
     return scored.withColumn("place", F.row_number().over(order)).where(F.col("place") <= top).select("query_id", "index", "sentence", "similarity", "place")
 

@@ -12,6 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lorespring.functions import text as tx
+from lorespring.functions import vectors as vx
 from lorespring.operators import bm25, chunk, compress, context, embed, hybrid, knn, quality
 from lorespring.plans import service
 from lorespring.sources.store import SourceStore
@@ -56,7 +57,7 @@ def test_repetition_and_answers(spark):
     assert one(spark, tx.bold_parts, "a **b** c **d e**") == ["b", "d e"]
 
 
-def test_bm25(spark):
+def test_bm25(spark, tmp_path):
     docs = spark.createDataFrame([(1, "The quick brown fox jumps over the lazy dog"), (2, "The lazy cat sleeps all day"), (3, "Quick brown cats are rare"), (4, ""), (5, None), (6, "a b c")], "doc_id long, text string")
     asked = spark.createDataFrame([(0, "lazy cat"), (1, "the the"), (2, "absent")], "query_id long, query string")
     got = {(r.query_id, r["rank"]): (r.doc_id, r.score) for r in bm25.search(docs, asked, 10).collect()}
@@ -65,6 +66,17 @@ def test_bm25(spark):
     assert got[1, 1][1] == pytest.approx(2 * single[0].score, abs=2e-6)
     assert not any(q == 2 for q, _ in got)
     assert bm25.stats(docs).first().n == 3
+    index = bm25.Index(spark, str(tmp_path / "index")).build(docs)
+    assert len(index) == 3
+    assert sorted(map(tuple, index.search(asked, 10).collect())) == sorted(map(tuple, bm25.search(docs, asked, 10).collect()))
+
+
+def test_cosine_in_batches(spark):
+    rows = [([1.0, 2.0], [2.0, 1.0]), ([0.0, 0.0], [1.0, 1.0]), ([1.0], [1.0, 2.0]), (None, [1.0]), ([], []), ([3.0, 4.0], [3.0, 4.0])]
+    df = spark.createDataFrame(rows, "a array<float>, b array<float>")
+    a, b = F.col("a"), F.col("b")
+    got = df.select(vx.cosine_in_batches(a, b), F.coalesce(vx.cosine(a, b), F.lit(0.0))).collect()
+    assert all(x == pytest.approx(y) for x, y in got) and got[0][0] == pytest.approx(0.8)
 
 
 def test_knn_edges(spark):
