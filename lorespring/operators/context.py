@@ -13,7 +13,8 @@ from pyspark.sql import window as W
 from ..functions.text import estimated_tokens, utf16_length
 
 SEPARATOR = "\n\n---\n\n"
-BETWEEN = "\n\n========== DIFFERENT DOCUMENT ==========\n\n"
+_RULE = "=" * 10
+BETWEEN = f"\n\n{_RULE} DIFFERENT DOCUMENT {_RULE}\n\n"
 STRICT = "Use nothing but the documents below to answer, and say so where they hold no answer."
 LENIENT = "Use the documents below to answer."
 

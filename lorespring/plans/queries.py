@@ -330,7 +330,7 @@ def _(embeddings, documents):
 _PACKED = """, steps AS (SELECT *, CAST(ceil(length(content) / 4) AS BIGINT) + CASE WHEN row_number() OVER w > 1 THEN 2 ELSE 0 END AS step FROM hits WINDOW w AS (PARTITION BY query_id ORDER BY rank)),
 packed AS (SELECT * FROM (SELECT *, CAST(sum(step) OVER (PARTITION BY query_id ORDER BY rank) AS BIGINT) AS tokens FROM steps) WHERE tokens <= 2000)"""
 _TEXT = """, bodies AS (SELECT query_id, source_id, min(rank) AS first, max(tokens) AS tokens, count(*) AS n, '=== Document ' || source_id || ' ===' || chr(10) || chr(10) || string_agg(content, chr(10) || chr(10) ORDER BY chunk_index) AS t FROM packed GROUP BY query_id, source_id),
-texts AS (SELECT query_id, string_agg(t, chr(10) || chr(10) || '========== DIFFERENT DOCUMENT ==========' || chr(10) || chr(10) ORDER BY first) AS text, max(tokens) AS tokens, CAST(sum(n) AS BIGINT) AS n_chunks FROM bodies GROUP BY query_id)"""
+texts AS (SELECT query_id, string_agg(t, chr(10) || chr(10) || repeat('=', 10) || ' DIFFERENT DOCUMENT ' || repeat('=', 10) || chr(10) || chr(10) ORDER BY first) AS text, max(tokens) AS tokens, CAST(sum(n) AS BIGINT) AS n_chunks FROM bodies GROUP BY query_id)"""
 _PROMPT = f"'{context.STRICT}' || chr(10) || chr(10) || '--- Documents ---' || chr(10) || text || chr(10) || '--- End of documents ---' || chr(10) || chr(10) || 'Question: ' || query || chr(10) || chr(10) || 'Answer:'"
 
 

@@ -152,7 +152,7 @@ def test_prompt(spark):
     text = context.context(hits(spark, [(7, 1, "b", 0.5), (7, 0, "a", 0.4), (8, 0, "c", 0.3)]))
     got = {r.query_id: r.prompt for r in context.prompt(asked, text).collect()}
     assert got[1] == "how?"
-    assert "=== Document 7 ===\n\na\n\nb\n\n========== DIFFERENT DOCUMENT ==========\n\n=== Document 8 ===\n\nc" in got[0]
+    assert "=== Document 7 ===\n\na\n\nb" + context.BETWEEN + "=== Document 8 ===\n\nc" in got[0]
     said = context.messages(asked, text, spark.createDataFrame([(0, t, "user", f"m{t}") for t in range(14)], "query_id long, turn long, role string, text string"))
     assert {r.query_id: len(r.messages) for r in said.collect()} == {0: 12, 1: 2}
 
