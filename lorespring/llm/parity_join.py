@@ -398,3 +398,15 @@ def representatives(docs: DataFrame) -> DataFrame:
 
 def op2(docs: DataFrame) -> DataFrame:
     return similar(docs)
+
+
+SQL = r"""
+WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (SELECT doc_id, list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM words),
+elements AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS n, any_value(b.n) AS m, count(*) AS k FROM elements a JOIN elements b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+links AS (SELECT a, b FROM common WHERE 100 * k >= 80 * (n + m - k)),
+reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+found AS (SELECT a AS doc_id, count(*) AS n_similar FROM links GROUP BY a), first AS (SELECT a AS doc_id, min(b) AS c FROM reach GROUP BY a)
+SELECT s.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, coalesce(n_similar, 0) AS n_similar, least(s.doc_id, coalesce(c, s.doc_id)) AS component_id FROM sets s LEFT JOIN found USING (doc_id) LEFT JOIN first USING (doc_id)
+"""

@@ -35,4 +35,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_line_dedup": unit_dedup.SQL, "op7_exact_dedup": stream_dedup.SQL}
+    return {"op2_ngram_jaccard_join": parity_join.SQL, "op5_suffix_array_dedup": suffix_dedup.SQL, "op6_line_dedup": unit_dedup.SQL, "op7_exact_dedup": stream_dedup.SQL}

@@ -77,7 +77,7 @@ def by_id(df):
     return out
 
 
-# 1 --------------------------------------------------------------------------------------
+# 1
 
 
 def test_language(spark, rows, docs, empty):
@@ -113,7 +113,7 @@ def test_language_scores_like_bayes(spark, docs):
     assert scores[0] == pytest.approx(p.max(), rel=1e-4)
 
 
-# 2 --------------------------------------------------------------------------------------
+# 2
 
 
 def brute_similar(rows):
@@ -175,7 +175,7 @@ def test_similar_large_near_copies(spark):
     assert got == expected
 
 
-# 3 --------------------------------------------------------------------------------------
+# 3
 
 
 def brute_statistics(t):
@@ -234,7 +234,7 @@ def test_trees_are_monotonic_and_learn():
     assert np.allclose(forest.score(x[:50]), [walk(r) for r in x[:50]])
 
 
-# 4 --------------------------------------------------------------------------------------
+# 4
 
 
 def test_mixing(spark, rows, docs, empty):
@@ -290,7 +290,7 @@ def test_sainte_lague():
         assert mixing.sainte_lague(votes, seats).tolist() == quotas.tolist()
 
 
-# 5 --------------------------------------------------------------------------------------
+# 5
 
 
 def brute_passages(rows, length=50):
@@ -343,7 +343,7 @@ def test_suffix_array():
     assert common_prefixes(order, words_at(data), 8).tolist() == expected
 
 
-# 6, 7 -----------------------------------------------------------------------------------
+# 6, 7
 
 
 def same_as_sql(df, rows, sql):
@@ -408,7 +408,7 @@ def test_exact_in_several_batches(spark, docs, tmp_path):
     assert key(one) == key(many)
 
 
-# 8 --------------------------------------------------------------------------------------
+# 8
 
 
 def test_packing(spark, rows, docs, empty):
@@ -495,7 +495,7 @@ def test_both_tokenizers_agree(rows):
     assert packing.encoder("byte_bpe_50k.json")(texts) == [e.ids for e in model.encode_batch(texts, add_special_tokens=False)]
 
 
-# 9, 10 ----------------------------------------------------------------------------------
+# 9, 10
 
 
 def test_licenses(spark, rows, docs, empty):
@@ -547,7 +547,7 @@ def test_fisher_yates():
     assert len(seen) == 6 and min(seen.values()) > 400
 
 
-# pipeline -------------------------------------------------------------------------------
+# pipeline
 
 
 def test_pipeline(spark, rows, tmp_path):
