@@ -56,7 +56,7 @@ def _long(c: Column | str) -> Column:
     return (F.col(c) if isinstance(c, str) else c).cast("long")
 
 
-# --- store ------------------------------------------------------------------------------
+# store
 
 
 @_register("doc_dedup_sha256", """
@@ -114,7 +114,7 @@ def _(documents):
     return documents.select("doc_id", tx.truncated(F.col("text"), 100).alias("preview"))
 
 
-# --- vectors ----------------------------------------------------------------------------
+# vectors
 
 
 @_register("cosine_pairs", """
@@ -168,7 +168,7 @@ def _(embeddings):
     return knn.IvfIndex(embeddings).search(_asked(embeddings), 10)
 
 
-# --- keyword search ---------------------------------------------------------------------
+# keyword search
 
 _TOKENS = r"list_filter(regexp_split_to_array(lower(coalesce({c}, '')), '[^\p{L}\p{N}_]+'), lambda x: strlen(x) >= 2)"
 _INDEX = f"""tokens AS (SELECT doc_id, {_fill(_TOKENS, c='text')} AS ts FROM documents{{where}}),
@@ -219,7 +219,7 @@ def _(documents, benchmark, labels):
     return bm25.search(left, _questions(benchmark), 10)
 
 
-# --- fusion -----------------------------------------------------------------------------
+# fusion
 
 _LEGS = _fill(_BM25, where="", q="% 50 = 0") + """, sims AS (SELECT b.item_id AS query_id, v.vec_id AS doc_id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 6) AS s
   FROM benchmark b JOIN embeddings q ON q.vec_id = b.item_id, embeddings v WHERE b.item_id % 50 = 0{vector}),
@@ -268,7 +268,7 @@ def _(documents, benchmark):
     return hybrid.search(documents, documents.select("doc_id", F.lit(None).cast("array<float>").alias("embedding")), asked, 10)
 
 
-# --- context ----------------------------------------------------------------------------
+# context
 
 # Hits: the 10 best vectors of each query; an embedding's label is its source, its id its place, its document's text the content.
 _HITS = "WITH " + _SIMS.format(where="q.vec_id % 50 = 0") + """, ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM sims),
@@ -375,7 +375,7 @@ def _(conversations):
     return context.last_messages(conversations).select("conv_id", "turn", "role", "text")
 
 
-# --- sentences and compression ----------------------------------------------------------
+# sentences and compression
 
 _WS = r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{0B}]"
 _TRIM = rf"regexp_replace(x, '^{_WS}+|{_WS}+$', '', 'g')"
@@ -446,7 +446,7 @@ def _(documents, benchmark):
     return compress.compressed_by_similarity(documents.select(F.col("doc_id").alias("query_id"), "text"), asked, hashed)
 
 
-# --- chunks -----------------------------------------------------------------------------
+# chunks
 
 
 @_register("chunk_article", """SELECT * FROM (VALUES ('제1조', false), ('제1조 목적', true), ('  제 12 조 정의', true), ('제목 조', false), ('제1', false), ('Article 1', false), ('', false)) AS t(line, is_title)
@@ -478,7 +478,7 @@ def _(documents):
     return service.ingested(documents, 1000, embed.hashing(32))
 
 
-# --- incremental ------------------------------------------------------------------------
+# incremental
 
 _SPLIT = "main AS (SELECT * FROM embeddings WHERE label % 2 = 0 OR label % 5 = 0), delta AS (SELECT * FROM embeddings WHERE label % 2 = 1)"
 
@@ -511,7 +511,7 @@ def _(spark, embeddings, sf_dir):
     return index.main().unionByName(index.delta()).select("id", F.round(vx.norm(F.col("embedding")), 6).alias("norm"))
 
 
-# --- quality ----------------------------------------------------------------------------
+# quality
 
 
 @_register("quality_recall_precision", "WITH " + _SIMS.format(where="q.vec_id % 50 = 0") + """, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM sims),
@@ -524,7 +524,7 @@ def _(embeddings):
     return quality.judged(hits, labels.join(embeddings.select(F.col("vec_id").alias("doc_id"), "label"), "label").select("query_id", "doc_id"), 3)
 
 
-# --- answers ----------------------------------------------------------------------------
+# answers
 
 
 @_register("bold_parts", r"SELECT doc_id, CAST(len(regexp_extract_all(text, '\*\*(.+?)\*\*', 1)) AS BIGINT) AS n, array_to_string(regexp_extract_all(text, '\*\*(.+?)\*\*', 1), '|') AS parts FROM documents")
