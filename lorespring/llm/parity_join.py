@@ -30,8 +30,9 @@ Steps:
 
 Cases: null, empty and blank texts have an empty set and link with nothing; fewer than 5
 words are one element, the whole sequence; repeated rows and equal texts are members of
-one class; an empty table gives no rows; other columns are not read. Hashes of shingles
-have 64 bits, digests of sets 128.
+one class; a row without doc_id is a member of its class, but a class of only such rows
+links with no other; an empty table gives no rows; other columns are not read. Hashes of
+shingles have 64 bits, digests of sets 128.
 """
 
 from __future__ import annotations
