@@ -162,7 +162,7 @@ def digests_of(offsets: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 
 def owner_of(digest: np.ndarray, role: np.ndarray) -> np.ndarray:
-    """A 40-bit number for a set in a role. Sets that share one are both kept when either is: that costs work, never a link."""
+    """A 40-bit number for a set in a role. Sets that share one are both kept when either is, which costs work; two that link and share one (a chance of 2**-40) would pass for one set."""
     return mix(digest.astype(np.uint64) ^ mix(role.astype(np.uint64))) & _LOW
 
 
