@@ -29,6 +29,8 @@ from ._arrays import chunks
 #: Fit on about this many documents of each language at most; the choice is a hash of doc_id.
 FIT_PER_LANGUAGE = 2000
 BUCKETS = 1 << 15
+#: More languages are refused: the matrix that is broadcast has a column for each.
+MOST_LANGUAGES = 1000
 ORDERS = (1, 2, 3)
 _FACTORS = np.array([2654435761, 2246822519, 3266489917], np.uint32)
 
@@ -108,7 +110,10 @@ def teaches(doc_id: Column, lang: Column, text: Column) -> Column:
 def fit(docs: DataFrame, per_language: int = FIT_PER_LANGUAGE, buckets: int = BUCKETS) -> Model:
     """Fit on the rows of docs that teaches() allows: all of a language with up to `per_language`, else about so many, by a hash of doc_id."""
     allowed = docs.select("doc_id", "lang", "text").where(teaches(F.col("doc_id"), F.col("lang"), F.col("text")))
-    have = allowed.groupBy("lang").count()
+    rows = allowed.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()
+    if len(rows) > MOST_LANGUAGES:
+        raise ValueError(f"over {MOST_LANGUAGES} languages")
+    have = docs.sparkSession.createDataFrame(rows, "lang string, count long")
     part = F.least(F.lit(1.0), per_language / F.col("count"))
     sample = allowed.join(F.broadcast(have), "lang").where(F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1 << 20)) < F.ceil(part * (1 << 20)))
 
