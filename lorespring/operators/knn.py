@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
@@ -20,25 +21,45 @@ from pyspark.sql import window as W
 BLOCK, QUERY_BLOCK = 4096, 512
 
 
+def _by_length(batch: pa.RecordBatch) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """(length, ids, matrix) of a batch of (id, vector). Rows with a null id or vector, an empty vector or a null in it are left out."""
+    vectors = batch.column(1)
+    lengths = pc.fill_null(pc.list_value_length(vectors), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = vectors.flatten()
+    row = np.repeat(np.arange(len(lengths)), lengths)
+    holes = np.bincount(row, flat.is_null().to_numpy(zero_copy_only=False), len(lengths))
+    usable = (lengths > 0) & (holes == 0) & batch.column(0).is_valid().to_numpy(zero_copy_only=False)
+    ids = pc.fill_null(batch.column(0), 0).to_numpy(zero_copy_only=False)
+    data = flat.to_numpy(zero_copy_only=False).astype(np.float64)
+    out = []
+    for dim in np.unique(lengths[usable]).tolist():
+        some = usable & (lengths == dim)
+        out.append((dim, ids[some], data[some[row]].reshape(-1, dim)))
+    return out
+
+
 def _packed(vectors: DataFrame, id_: str, vector: str, block: int, prefix: str) -> DataFrame:
-    """Rows (ids, dim, data) of up to `block` vectors of equal length; vectors that are null, empty or have a null are left out."""
+    """Rows (ids, dim, data) of up to `block` vectors of equal length."""
+    names = [f"{prefix}ids", f"{prefix}dim", f"{prefix}data"]
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[tuple[int, bytes]]] = {}
+        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
 
-        def out(dim: int) -> pa.RecordBatch:
-            rows = held.pop(dim)
-            ids = np.array([r[0] for r in rows], np.int64).tobytes()
-            return pa.RecordBatch.from_arrays([pa.array([ids], pa.binary()), pa.array([dim], pa.int32()), pa.array([b"".join(r[1] for r in rows)], pa.binary())], names=[f"{prefix}ids", f"{prefix}dim", f"{prefix}data"])
+        def out(dim: int, least: int) -> Iterator[pa.RecordBatch]:
+            ids, data = (np.concatenate(x) for x in zip(*held.pop(dim)))
+            while len(ids) >= least and len(ids):
+                yield pa.RecordBatch.from_arrays([pa.array([ids[:block].astype(np.int64).tobytes()], pa.binary()), pa.array([dim], pa.int32()), pa.array([data[:block].tobytes()], pa.binary())], names=names)
+                ids, data = ids[block:], data[block:]
+            if len(ids):
+                held[dim] = [(ids, data)]
 
         for batch in batches:
-            for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if i is not None and v and None not in v:
-                    held.setdefault(len(v), []).append((i, np.array(v, np.float64).tobytes()))
-                    if len(held[len(v)]) == block:
-                        yield out(len(v))
+            for dim, ids, data in _by_length(batch):
+                held.setdefault(dim, []).append((ids, data))
+                if sum(len(i) for i, _ in held[dim]) >= block:
+                    yield from out(dim, block)
         for dim in list(held):
-            yield out(dim)
+            yield from out(dim, 1)
 
     return vectors.select(F.col(id_).cast("long"), F.col(vector)).mapInArrow(pack, f"{prefix}ids binary, {prefix}dim int, {prefix}data binary")
 
@@ -108,15 +129,18 @@ class IvfIndex:
 
         def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                data = np.array(batch.column(1).to_pylist(), np.float64).reshape(batch.num_rows, -1)
-                near = np.argsort(-(data @ centroids.T), axis=1, kind="stable")[:, :probes]
-                rows_ = np.repeat(np.arange(batch.num_rows), near.shape[1])
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows_)), batch.column(1).take(pa.array(rows_)), pa.array(near.reshape(-1).astype(np.int32))], names=[id_, vector, "cell"])
+                for dim, ids, data in _by_length(batch):
+                    if dim != centroids.shape[1]:
+                        continue
+                    near = np.argsort(-(data @ centroids.T), axis=1, kind="stable")[:, :probes]
+                    times = near.shape[1]
+                    vectors_ = pa.ListArray.from_arrays(np.arange(0, len(ids) * times * dim + 1, dim, dtype=np.int32), pa.array(np.repeat(data, times, axis=0).astype(np.float32).reshape(-1)))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, times)), vectors_, pa.array(near.reshape(-1).astype(np.int32))], names=[id_, vector, "cell"])
 
         return rows.select(F.col(id_).cast("long").alias(id_), vector).mapInArrow(assign, f"{id_} long, {vector} array<float>, cell int")
 
     def search(self, queries: DataFrame, k: int, probes: int = 6, query_id: str = "query_id", query_vector: str = "embedding") -> DataFrame:
-        """Approximate top_k(): only the `probes` nearest cells of a query are compared, joined on the cell and split by block."""
+        """Approximate top_k() among vectors of the centroids' length: only the `probes` nearest cells of a query are compared, by a join on the cell."""
         asked = self._cells(queries, probes, query_id, query_vector).withColumnRenamed(query_vector, "__query")
         from ..functions.vectors import cosine
 
