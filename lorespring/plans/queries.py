@@ -375,6 +375,37 @@ def _(conversations):
     return context.last_messages(conversations).select("conv_id", "turn", "role", "text")
 
 
+@_register("chat_messages", """WITH r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations),
+h AS (SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn, role, text) AS t FROM r WHERE r <= 10 GROUP BY conv_id)
+SELECT conv_id, 'system: Answer helpfully.' || chr(10) || t || chr(10) || 'user: And then?' AS said FROM h""")
+def _(conversations):
+    """Every conversation, asked on: the system's message, its last ten and the question."""
+    asked = conversations.select(F.col("conv_id").alias("query_id")).distinct().withColumn("query", F.lit("And then?"))
+    none = asked.select("query_id", F.lit(None).cast("string").alias("text")).where("false")
+    history = conversations.select(F.col("conv_id").alias("query_id"), "turn", "role", "text")
+    said = context.messages(asked, none, history)
+    return said.select(F.col("query_id").alias("conv_id"), F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit(": "), m["content"])), "\n").alias("said"))
+
+
+def _chat(documents: DataFrame, benchmark: DataFrame, preset: service.Preset) -> DataFrame:
+    embedder = embed.hashing(64)
+    chunks = service.ingested(documents, 1000, embedder).withColumn("chunk_id", F.col("source_id") * 1_000_000 + F.col("chunk_index"))
+    asked = _questions(benchmark).withColumn("embedding", embedder(F.col("query")))
+    _, contexts = service.search(chunks, asked, preset)
+    return service.prompts(asked, contexts)
+
+
+@_register("desktop_chat", None)
+def _(documents, benchmark):
+    """Chunks, embeddings, search, best source, neighbours, packing, compression and prompt in one plan."""
+    return _chat(documents, benchmark, service.DESKTOP[1])
+
+
+@_register("mobile_chat", None)
+def _(documents, benchmark):
+    return _chat(documents, benchmark, service.MOBILE[1])
+
+
 # sentences and compression
 
 _WS = r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{0B}]"
