@@ -103,13 +103,15 @@ class Buffer:
         self.starts = np.zeros(self.n + 1, np.int64)
         np.cumsum(lengths + 1, out=self.starts[1:])
         self._sums: np.ndarray | None = None
+        self._back: np.ndarray | None = None
 
     def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """A 64-bit hash of each data[start:end], whatever stands around it."""
         if self._sums is None:
             self._sums = np.zeros(len(self.data) + 1, np.uint64)
             np.cumsum(_BYTE[self.data] * _power(_BASE, len(self.data)), out=self._sums[1:])
-        h = (self._sums[ends] - self._sums[starts]) * _power(_INVERSE, len(self.data) + 1)[starts]
+            self._back = _power(_INVERSE, len(self.data) + 1)
+        h = (self._sums[ends] - self._sums[starts]) * self._back[starts]
         return mix(h ^ ((ends - starts).astype(np.uint64) * _MIX[60]))
 
     def words(self) -> Words:
