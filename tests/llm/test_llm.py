@@ -519,6 +519,40 @@ def test_licenses(spark, rows, docs, empty):
     assert [found[k] for k in range(120)] == expected
 
 
+# Texts as they stand in other places than TEMPLATES, and what is found in them.
+_GRANT = "Permission is hereby granted, free of charge, to any person obtaining a copy of"
+REFERENCES = [
+    (_GRANT + ' the Unicode data files and any associated documentation (the "Data Files") to deal in the Data Files without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, and/or sell copies of the Data Files, and to permit persons to whom the Data Files are furnished to do so, provided that this notice appears with all copies.', set()),
+    ("12. IN NO EVENT UNLESS REQUIRED BY APPLICABLE LAW OR AGREED TO IN WRITING WILL ANY COPYRIGHT HOLDER, OR ANY OTHER PARTY WHO MAY MODIFY AND/OR REDISTRIBUTE THE PROGRAM AS PERMITTED ABOVE, BE LIABLE TO YOU FOR DAMAGES", set()),
+    ("Copyright (c) 2020 Somebody\n\n" + _GRANT + ' this software and\n# associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\n\nTHE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED', {"mit"}),
+    ('# Licensed under the Apache License, Version 2.0 (the "License");\n# you may not use this file except in compliance with the License.\n# You may obtain a copy of the License at\n#\n#     http://www.apache.org/licenses/LICENSE-2.0\n#\n# Unless required by applicable law or agreed to in writing, software\n# distributed under the License is distributed on an "AS IS" BASIS,\n# WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.\n# See the License for the specific language governing permissions and\n# limitations under the License.', {"apache-2.0-line", "apache-2.0-notice"}),
+    ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.", {"bsd"}),
+]
+
+
+def test_licenses_of_reference_texts(spark):
+    texts = [(k, t) for k, (t, _) in enumerate(REFERENCES)]
+    found = {r.doc_id: set(filter(None, r.licenses.split(","))) for r in license_scan.op9(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert [found[k] for k in range(len(texts))] == [names for _, names in REFERENCES]
+
+
+def test_whole_license_texts():
+    index = license_scan.Index()
+    whole = {n: t for n, t in license_scan.TEMPLATES.items() if n.endswith("-text")}
+    assert {f"{n}-text" for n in ("apache-2.0", "gpl-1.0", "gpl-2.0", "gpl-3.0", "lgpl-2.0", "lgpl-2.1", "lgpl-3.0", "mpl-2.0", "bsd-3-clause")} <= set(whole)
+    filler = " ".join(f"w{k}" for k in range(5000))
+    for name, text in whole.items():
+        words = text.split()
+        for at in (0, 700, 4999):
+            doc = " ".join([*filler.split()[:at], *words, *filler.split()[at:]])
+            h = license_scan.shingle_lists([doc.encode()])[1]
+            found = {index.names[k] for k in index.find(h)}
+            assert found == {n for n, x in zip(index.names, index.sets) if np.isin(x, h).sum() >= license_scan.CONTAINED * len(x)}
+            assert name in found and ("apache-2.0-notice" in found) == (name == "apache-2.0-text") and "mit" not in found
+        half = license_scan.shingle_lists([" ".join(words[: len(words) // 2]).encode()])[1]
+        assert name not in {index.names[k] for k in index.find(half)}
+
+
 def test_shards(spark, rows, docs, empty, monkeypatch):
     monkeypatch.setattr(sharding, "BUCKET_BYTES", 1000)
     got = by_id(sharding.op10(docs))
