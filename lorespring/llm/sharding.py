@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ._spark import scratch
+
 SHARDS = 40
 BUCKET_BYTES = 16 << 20
 #: Bytes that a record takes besides its payload, and the most buckets there are (their counts reach the driver).
@@ -63,12 +65,14 @@ def external_shuffle(df: DataFrame, key: str, payload_bytes: str | None = None,
 def write_shards(df: DataFrame, path: str, key: str, payload_bytes: str | None = None, **settings) -> None:
     """Write the shuffled records as one folder per shard, each file holding a run of slots in order."""
     placed = external_shuffle(df, key, payload_bytes, **settings)
-    placed.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    placed.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").option("compression", "zstd").parquet(path)
 
 
 def op10(docs: DataFrame) -> DataFrame:
-    """The place of every document in 40 shards, under the law `rows`."""
+    """The place of every document in 40 shards, under the law `rows`, with the size and checksum of the text that was written there."""
+    spark, records = docs.sparkSession, docs.select("doc_id", "text")
+    path = scratch(spark, "shards")
+    write_shards(records, path, "doc_id", "octet_length(text)", bucket_bytes=BUCKET_BYTES)
+    placed = spark.read.schema(T.StructType([*records.schema.fields, T.StructField("slot", T.LongType()), T.StructField("shard", T.IntegerType())])).parquet(path)
     text = F.coalesce(F.col("text"), F.lit(""))
-    narrow = docs.select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    placed = external_shuffle(narrow, "doc_id")
-    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    return placed.select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

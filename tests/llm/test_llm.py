@@ -570,6 +570,18 @@ def test_shards(spark, rows, docs, empty, monkeypatch):
     assert sharding.op10(empty).count() == 0
 
 
+def test_shards_hold_the_texts(spark, rows, docs, monkeypatch, tmp_path):
+    wrote = []
+    whole = sharding.write_shards
+    monkeypatch.setattr(sharding, "BUCKET_BYTES", 20_000)
+    monkeypatch.setattr(sharding, "write_shards", lambda df, path, *a, **k: (wrote.append((path, a, k)), whole(df, path, *a, **k)))
+    got = by_id(sharding.op10(docs))
+    (path, given, named), = wrote
+    assert given == ("doc_id", "octet_length(text)") and named == {"bucket_bytes": 20_000}
+    back = by_id(spark.read.parquet(path))
+    assert {i: (r.text, r.shard, r.slot) for i, r in back.items()} == {i: (t, got[i].shard, got[i].slot) for i, t, *_ in rows}
+
+
 def test_written_shards(spark, docs, tmp_path):
     sharding.write_shards(docs.select("doc_id", "text"), str(tmp_path / "out"), "doc_id", "octet_length(text)", shards=3, bucket_bytes=20_000)
     back = spark.read.parquet(str(tmp_path / "out"))
