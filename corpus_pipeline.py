@@ -13,7 +13,7 @@ from lorespring.llm._spark import small_batches, written
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops texts without a letter and those whose language isn't told with a posterior of 1/2."""
+    """Drops texts without a letter, those whose language isn't told with a posterior of 1/2, and those unlike that language's own, as noise and languages that nothing was learned of."""
     small_batches(spark)
     return langid.accepted(docs, langid.fit(docs))
 

@@ -32,6 +32,8 @@ BUCKETS = 1 << 15
 #: More languages are refused: the matrix that is broadcast has a column for each.
 MOST_LANGUAGES = 1000
 ORDERS = (1, 2, 3)
+#: A text fits a language if the mean log-likelihood of its n-grams is at most MARGIN + SPREAD / sqrt(n-grams) below what is usual there: few n-grams vary more.
+MARGIN, SPREAD = 1.5, 15.0
 _FACTORS = np.array([2654435761, 2246822519, 3266489917], np.uint32)
 
 
@@ -77,29 +79,37 @@ def _grams(codes: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray, n
 class Model:
     languages: list[str]
     weights: np.ndarray  # (buckets + 1) x languages, float32; the last row is zero and stands for what doesn't count
+    usual: np.ndarray  # of each language, the mean log-likelihood of an n-gram of its own texts
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         """The likeliest language of each text and its posterior probability."""
-        names, scores = ["und"] * len(texts), np.zeros(len(texts))
+        return self.judge(texts)[:2]
+
+    def judge(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """What predict() gives, and whether the text's n-grams are about as likely as that language's own."""
+        names, scores, fits = ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), bool)
         lettered = [i for i, t in enumerate(texts) if t and any(map(str.isalpha, t))]
         if not lettered or not self.languages:
-            return names, scores
+            return names, scores, fits
         buckets = len(self.weights) - 1
         for part in chunks([len(texts[i]) for i in lettered], 1 << 18):
             rows = lettered[part]
             codes, starts = _codes([texts[i] for i in rows])
-            total = np.zeros((len(rows), len(self.languages)))
+            total, grams = np.zeros((len(rows), len(self.languages))), np.zeros(len(rows))
             for n, bucket, counts in _grams(codes, buckets):
                 bucket[~counts] = buckets
                 first = starts[:-1] - 0
                 total += np.add.reduceat(np.vstack([self.weights[bucket], np.zeros((n - 1, len(self.languages)), np.float32)]), first, axis=0, dtype=np.float64)
+                grams += np.add.reduceat(np.concatenate([counts, np.zeros(n - 1, bool)]), first, dtype=np.int64)
             best = total.argmax(1)
             top = total[np.arange(len(rows)), best]
             score = 1 / np.exp(total - top[:, None]).sum(1)
             for k, i in enumerate(rows):
                 names[i] = self.languages[best[k]]
             scores[rows] = score
-        return names, scores
+            grams = np.maximum(grams, 1)
+            fits[rows] = top / grams >= self.usual[best] - MARGIN - SPREAD / np.sqrt(grams)
+        return names, scores, fits
 
 
 def teaches(doc_id: Column, lang: Column, text: Column) -> Column:
@@ -139,7 +149,10 @@ def fit(docs: DataFrame, per_language: int = FIT_PER_LANGUAGE, buckets: int = BU
         index = {l: i for i, l in enumerate(languages)}
         counts[table.column("bucket").to_numpy(), [index[x] for x in names]] = table.column("n").to_numpy()
     weights = np.log((counts + 0.5) / (counts.sum(0) + 0.5 * buckets)) if languages else counts
-    return Model(languages, np.vstack([weights, np.zeros((1, len(languages)))]).astype(np.float32))
+    # each n-gram judged by the counts without itself
+    sums = counts.sum(0)
+    usual = (counts * np.log(np.maximum(counts - 0.5, 0.5) / (sums + 0.5 * buckets))).sum(0) / np.maximum(sums, 1)
+    return Model(languages, np.vstack([weights, np.zeros((1, len(languages)))]).astype(np.float32), usual)
 
 
 def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
@@ -157,18 +170,18 @@ def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(score, f"{schema}, lang_pred string, score double")
 
 
-#: Below this posterior, or without a letter, a document is rejected.
+#: Below this posterior, without a letter, or unlike the texts of its language, a document is rejected. The posterior alone is near 1 for any longer text, in whatever language.
 ACCEPT = 0.5
 
 
 def accepted(docs: DataFrame, model: Model, least: float = ACCEPT) -> DataFrame:
-    """The documents whose language is told with a posterior of at least `least`; their columns are unchanged."""
+    """The documents whose language is told with a posterior of at least `least` and whose text fits it; their columns are unchanged."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("boolean")
     def told(text: pd.Series) -> pd.Series:  # only the text goes to Python
-        names, scores = shared.value.predict(text.tolist())
-        return pd.Series([n != "und" for n in names]) & (scores >= least)
+        names, scores, fits = shared.value.judge(text.tolist())
+        return pd.Series([n != "und" for n in names]) & (scores >= least) & fits
 
     return docs.where(told(F.col("text")))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import collections
 import hashlib
 import random
@@ -113,6 +114,17 @@ def test_language_scores_like_bayes(spark, docs):
     assert scores[0] == pytest.approx(p.max(), rel=1e-4)
 
 
+def test_foreign_texts_and_noise_are_rejected(spark, rows, docs):
+    rng = random.Random(3)
+    foreign = ["Сегодня утром мы пошли в лес собирать грибы и ягоды", "今日は天気がいいので公園を散歩しました", "A magyar nyelv szépsége abban rejlik, hogy minden szónak megvan a maga helye és szerepe"]
+    noise = [base64.b64encode(rng.randbytes(k)).decode() for k in (30, 60, 150, 400)]
+    model = langid.fit(docs)
+    other = spark.createDataFrame([(1000 + k, t) for k, t in enumerate(foreign + noise)], "doc_id long, text string")
+    assert {s > 0.99 for s in model.predict(foreign + noise)[1].tolist()} == {True}
+    assert langid.accepted(other, model).count() == 0
+    assert {r.doc_id for r in langid.accepted(docs, model).collect()} == {i for i, t, *_ in rows if t and any(map(str.isalpha, t))}
+
+
 # 2
 
 
