@@ -1,8 +1,12 @@
 """Vectorised text primitives over Arrow batches.
 
-Every function works on whole texts. A null text counts as an empty one. Hashes
-are 64 bits wide: two different words, lines or shingles of one comparison share
-a hash with a chance of about 2**-64.
+Every function works on whole texts. A null text counts as an empty one.
+
+The hash of a span of bytes is a polynomial in a seeded base modulo the prime 2**61 - 1,
+scrambled: two different spans of up to n bytes share one with a chance of about n / 2**61
+over the base, whatever the spans are (modulo a power of two, as cheaper hashes are, some
+strings collide for every base). Shingles add up the scrambled hashes of their words, times
+seeded odd factors modulo 2**64.
 """
 
 from __future__ import annotations
@@ -23,23 +27,42 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 _rng = np.random.Generator(np.random.PCG64(20240607))
-_BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MIX = _rng.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_powers: dict[int, np.ndarray] = {}
+_P = np.uint64((1 << 61) - 1)
+_BASE = int(_rng.integers(1 << 40, (1 << 61) - 2))
+_INVERSE = pow(_BASE, -1, (1 << 61) - 1)
+_31, _30 = np.uint64((1 << 31) - 1), np.uint64((1 << 30) - 1)
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+#: Bytes of a span whose terms are summed without a carry: 2**9 (a byte, plus 1) * 2**31 * 2**24 = 2**64.
+_PIECE = 1 << 24
+
+
+def _reduced(t: np.ndarray) -> np.ndarray:
+    """t modulo 2**61 - 1."""
+    t = (t & _P) + (t >> np.uint64(61))
+    return np.where(t >= _P, t - _P, t)
+
+
+def _times(a: np.ndarray, high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """a * (high * 2**31 + low) modulo 2**61 - 1; a < 2**61, high < 2**30, low < 2**31."""
+    ah, al = a >> np.uint64(31), a & _31
+    middle = ah * low + al * high
+    # 2**62 is 2, and middle * 2**31 is its upper part and 2**31 times its lower 30 bits
+    return _reduced(np.uint64(2) * ah * high + (middle >> np.uint64(30)) + ((middle & _30) << np.uint64(31)) + al * low)
 
 
-def _power(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1), modulo 2**64. Tables for usual chunks are kept; a longer one is for one use."""
+def _power(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """base**0 .. base**(n-1) modulo 2**61 - 1, as their upper 30 and lower 31 bits. Tables for usual chunks are kept; a longer one is for one use."""
     have = _powers.get(base)
-    if have is None or len(have) < n:
-        have = np.full(max(n, 2 * CHUNK_BYTES), base, np.uint64)
-        have[0] = 1
-        np.multiply.accumulate(have, out=have)
+    if have is None or len(have[0]) < n:
+        all_ = np.ones(1, np.uint64)
+        while len(all_) < max(n, 2 * CHUNK_BYTES):
+            step = pow(base, len(all_), (1 << 61) - 1)
+            all_ = np.concatenate([all_, _times(all_, np.uint64(step >> 31), np.uint64(step) & _31)])
+        have = ((all_ >> np.uint64(31)).astype(np.uint32), (all_ & _31).astype(np.uint32))
         if n <= 2 * CHUNK_BYTES:
             _powers[base] = have
-    return have[:n]
+    return have[0][:n], have[1][:n]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -102,17 +125,30 @@ class Buffer:
         lengths = np.fromiter((len(t) for t in texts), np.int64, self.n)
         self.starts = np.zeros(self.n + 1, np.int64)
         np.cumsum(lengths + 1, out=self.starts[1:])
-        self._sums: np.ndarray | None = None
-        self._back: np.ndarray | None = None
+        self._sums: tuple[np.ndarray, np.ndarray] | None = None
 
     def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """A 64-bit hash of each data[start:end], whatever stands around it."""
         if self._sums is None:
-            self._sums = np.zeros(len(self.data) + 1, np.uint64)
-            np.cumsum(_BYTE[self.data] * _power(_BASE, len(self.data)), out=self._sums[1:])
-            self._back = _power(_INVERSE, len(self.data) + 1)
-        h = (self._sums[ends] - self._sums[starts]) * self._back[starts]
-        return mix(h ^ ((ends - starts).astype(np.uint64) * _MIX[60]))
+            terms = self.data.astype(np.uint64) + np.uint64(1)
+            self._sums = tuple(np.zeros(len(terms) + 1, np.uint64) for _ in range(2))
+            for sums, power in zip(self._sums, _power(_BASE, len(terms))):
+                np.cumsum(terms * power, out=sums[1:])
+        lengths = ends - starts
+        h = self._sum(starts, np.minimum(ends, starts + _PIECE))
+        for k in np.flatnonzero(lengths > _PIECE):
+            for at in range(int(starts[k]) + _PIECE, int(ends[k]), _PIECE):
+                part = np.array([at])
+                h[k : k + 1] = _reduced(h[k : k + 1] + self._sum(part, np.minimum(part + _PIECE, ends[k])))
+        back = _power(_INVERSE, len(self.data) + 1)
+        h = _times(h, back[0][starts].astype(np.uint64), back[1][starts].astype(np.uint64))
+        return mix(h ^ (lengths.astype(np.uint64) * _MIX[60]))
+
+    def _sum(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The terms from each start to each end, up to _PIECE of them, modulo 2**61 - 1."""
+        high, low = (x[ends] - x[starts] for x in self._sums)  # what wrapped around in the sums comes back here
+        high = _reduced(high)
+        return _reduced((high >> np.uint64(30)) + ((high & _30) << np.uint64(31)) + _reduced(low))
 
     def words(self) -> Words:
         solid = ~_SPACE[self.data]
