@@ -26,13 +26,17 @@ Steps:
 3. What is left is joined by pieces to stars (never to pairs), whose connected components
    hold all links. A component is compared in blocks of bounded size: dense parity
    sketches of the blocks, all Hamming distances of a row at once, and an exact
-   intersection of every pair within reach.
+   intersection of every pair within reach. Of a block's links only the number that each
+   set has and a spanning forest are written, never the pairs.
+
+A class is known by a number of its own and a row by its file and place, never by doc_id.
 
 Cases: null, empty and blank texts have an empty set and link with nothing; fewer than 5
 words are one element, the whole sequence; repeated rows and equal texts are members of
-one class; a row without doc_id is a member of its class, but a class of only such rows
-links with no other; an empty table gives no rows; other columns are not read. Hashes of
-shingles have 64 bits, digests of sets 128.
+one class; rows of one doc_id with different texts are documents of their own; a row
+without doc_id is a row like any other, but the smallest doc_id of its component is among
+those that there are, and null if there is none; an empty table gives no rows; other
+columns are not read. Hashes of shingles have 64 bits, digests of sets 128.
 """
 
 from __future__ import annotations
@@ -47,7 +51,7 @@ from pyspark.sql import functions as F
 from ._arrays import mix, shingle_sets, text_chunks
 from ._blobs import ROWS, batch_of, blobs_of, bucket_of, had_by_two, pack, slices, unpack
 from ._graph import components
-from ._spark import partitions, picked, without, written
+from ._spark import done_with, located, partitions, picked, tasks_for, text_bytes, without, written
 
 WIDTH = 5
 #: Sets of up to so many shingles have a piece for each.
@@ -56,9 +60,9 @@ SMALL = 128
 SEEDS = 12
 #: Entries that a task packs at a time; shingles of a block of a component.
 FLUSH, BLOCK_SHINGLES = 1 << 19, 1 << 20
-#: Bytes of text that a task has as arrays at a time.
-TEXT_BYTES = 1 << 19
-_LOW = np.uint64((1 << 40) - 1)
+#: Bytes of text that a task has as arrays at a time; of text whose pieces are a bucket's.
+TEXT_BYTES, BUCKET_TEXT = 1 << 19, 8 << 20
+_LOW = np.uint64((1 << 48) - 1)
 
 _BOUNDS = [SMALL]
 while _BOUNDS[-1] < 1 << 40:
@@ -133,7 +137,8 @@ def keys_of(offsets: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.nda
         filled[piece] = True
         piece_role = np.repeat(np.arange(len(of)), p)
         empty = p - np.bincount(piece_role[filled], minlength=len(of))
-        reach = np.minimum(n[of] + n[of] * 5 // 4, n[of] + _BOUNDS[at]) // 9
+        # in its own band a set meets sets of up to 5/4 of its size, as they come down to it; where it comes down itself, sets of up to the band's bound (larger ones it meets above)
+        reach = np.where(n[of] <= _BOUNDS[at], n[of] + n[of] * 5 // 4, n[of] + _BOUNDS[at]) // 9
         need = p - reach - empty
         sent = filled
         if last:
@@ -162,7 +167,7 @@ def digests_of(offsets: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 
 def owner_of(digest: np.ndarray, role: np.ndarray) -> np.ndarray:
-    """A 40-bit number for a set in a role. Sets that share one are both kept when either is, which costs work; two that link and share one (a chance of 2**-40) would pass for one set."""
+    """A 48-bit number for a set in a role. Sets that share one are both kept when either is, which costs work; two that link and share one (a chance of 2**-48) would pass for one set."""
     return mix(digest.astype(np.uint64) ^ mix(role.astype(np.uint64))) & _LOW
 
 
@@ -184,9 +189,9 @@ def emit_counts(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.
         some = np.flatnonzero(answered)
         sent = ~shared | start
         value, by = key[sent], np.where(shared[sent], 0, owner[who[sent]])
-        rows = [(b, 0, pack((value[x:y], 5), (by[x:y], 5))) for b, x, y in slices(bucket_of(value, buckets))]
+        rows = [(b, 0, pack((value[x:y], 5), (by[x:y], 6))) for b, x, y in slices(bucket_of(value, buckets))]
         place = int(key[0] % np.uint64(buckets))
-        rows += [(place, 1, pack((owner[some], 5), (answered[some], 5))), (place, 2, pack((owner, 5), (digest.astype(np.uint64), 8), (need, 5)))]
+        rows += [(place, 1, pack((owner[some], 6), (answered[some], 5))), (place, 2, pack((owner, 6), (digest.astype(np.uint64), 8), (need, 5)))]
         return batch_of(rows)
 
     for _, texts in text_chunks(batches, "text", TEXT_BYTES):
@@ -294,76 +299,111 @@ def sketch(sets: list[np.ndarray], bits: int) -> np.ndarray:
     return out
 
 
-def links(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray) -> list[tuple[int, int]]:
-    """Pairs of sets that link. side: 0 or 1; pairs are of different sides, or of any if all sides are 2."""
+def links(ids: np.ndarray, sets: list[np.ndarray], weights: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
+    """Of sets that link: ids, how much the sets that each links with weigh, and enough of the links to join what all of them join. side: 0 or 1; links are between different sides, or any if all sides are 2."""
     order = np.argsort([len(s) for s in sets], kind="stable")
-    ids, sets, side = ids[order], [sets[i] for i in order], side[order]
+    ids, sets, weights, side = ids[order], [sets[i] for i in order], weights[order].astype(np.int64), side[order]
     n = np.array([len(s) for s in sets], np.int64)
     bits = 1 << max(8, min(16, int(2 * n.max()).bit_length()))
     rows = sketch(sets, bits)
-    out = []
+    names, number = np.unique(np.concatenate(sets), return_inverse=True)  # shingles by small numbers
+    at = np.cumsum(n) - n
+    mine = np.zeros(len(names), bool)
+    total, up, forest = np.zeros(len(sets), np.int64), np.arange(len(sets)), []
+
+    def root(i: int) -> int:
+        while up[i] != i:
+            up[i] = up[up[i]]
+            i = up[i]
+        return i
+
     for i in range(len(sets) - 1):
         stop = np.searchsorted(n, n[i] * 5 // 4, "right")
         if stop <= i + 1:
             continue
         apart = np.bitwise_count(rows[i + 1 : stop] ^ rows[i]).sum(1, dtype=np.int64)
-        for j in i + 1 + np.flatnonzero((9 * apart <= n[i] + n[i + 1 : stop]) & ((side[i + 1 : stop] != side[i]) | (side[i] == 2))):
-            at = np.searchsorted(sets[j], sets[i])
-            at[at == n[j]] = 0
-            both = int((sets[j][at] == sets[i]).sum())
-            if 100 * both >= 80 * (n[i] + n[j] - both):
-                out.append((int(ids[i]), int(ids[j])))
-    return out
+        near = i + 1 + np.flatnonzero((9 * apart <= n[i] + n[i + 1 : stop]) & ((side[i + 1 : stop] != side[i]) | (side[i] == 2)))
+        if not len(near):
+            continue
+        mine[number[at[i] : at[i] + n[i]]] = True
+        for k in range(0, len(near), 256):
+            some = near[k : k + 256]
+            both = np.add.reduceat(mine[number[_ranges(at[some], n[some])]].astype(np.int64), np.cumsum(n[some]) - n[some])
+            some = some[100 * both >= 80 * (n[i] + n[some] - both)]
+            total[i] += weights[some].sum()
+            total[some] += weights[i]
+            for j in some.tolist():
+                x, y = root(i), root(j)
+                if x != y:
+                    up[max(x, y)] = min(x, y)
+                    forest.append((int(ids[i]), int(ids[j])))
+        mine[number[at[i] : at[i] + n[i]]] = False
+    has = total > 0
+    return ids[has], total[has], forest
 
 
 def compare(group: pa.Table) -> pa.Table:
-    """Links within one component, or between two of its blocks."""
+    """Links within one component, or between two of its blocks: (a, others) and links (a, b)."""
     sets = [np.frombuffer(b, np.uint64) for b in group.column("shingles").to_pylist()]
-    found = links(group.column("id").to_numpy(), sets, group.column("side").to_numpy())
-    return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([x for _, x in found], pa.int64())})
+    of, total, forest = links(group.column("id").to_numpy(), sets, group.column("members").to_numpy(), group.column("side").to_numpy())
+    none = lambda k: pa.nulls(k, pa.int64())
+    a, b = (pa.array([x[j] for x in forest], pa.int64()) for j in range(2))
+    return pa.table({"a": pa.chunked_array([pa.array(of), a]), "others": pa.chunked_array([pa.array(total), none(len(a))]), "b": pa.chunked_array([none(len(of)), b])})
 
 
-def similar(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, n_similar and component_id of every row of docs."""
+def _judged(docs: DataFrame) -> tuple[DataFrame, list[str], DataFrame, DataFrame]:
+    """docs of located(), the names of its places, its rows (file, row, doc_id, n_shingles, digest, digest2), and of each class with a link or a second member: its digests, n_similar and the row that leads its component."""
     spark = docs.sparkSession
-    buckets = 4 * partitions(spark)
+    placed, names = located(docs)
+    size = text_bytes(docs)
+    buckets, tasks = max(partitions(spark), -(-size // BUCKET_TEXT)), tasks_for(spark, 2 * size)
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_chunks(batches, "text", TEXT_BYTES):
             offsets, hashes = shingle_sets(texts, WIDTH, lower=True)
             two = digests_of(offsets, hashes)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(offsets)), pa.array(two[:, 0]), pa.array(two[:, 1])], names=["doc_id", "n_shingles", "digest", "digest2"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("file", "row", "doc_id")), pa.array(np.diff(offsets)), pa.array(two[:, 0]), pa.array(two[:, 1])], names=["file", "row", "doc_id", "n_shingles", "digest", "digest2"])
 
-    read = docs.select(F.col("doc_id").cast("long"), "text")
-    rows = written(read.mapInArrow(digest, "doc_id long, n_shingles long, digest long, digest2 long"), "sets")
-    classes = written(rows.where("n_shingles > 0").groupBy("digest", "digest2").agg(F.min("doc_id").alias("id"), F.count("*").alias("members")), "classes")
+    read = placed.select(F.col(names[0]).alias("file"), F.col(names[1]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = written(read.mapInArrow(digest, "file long, row long, doc_id long, n_shingles long, digest long, digest2 long"), "sets")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "file", "row")).alias("first")
+    classes = rows.where("n_shingles > 0").groupBy("digest", "digest2").agg(first, F.count("*").alias("members"))
+    classes = written(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
 
-    packed = read.select("text").mapInArrow(lambda b: emit_counts(b, buckets), ROWS)
+    packed = read.select("text").mapInArrow(lambda b: emit_counts(b, buckets), ROWS).repartition(tasks, "bucket")
     counted = written(packed.groupBy("bucket").applyInArrow(count_shared, "owner long, n long, digest long"), "counted")
     counts = counted.where("digest IS NULL").groupBy("owner").agg(F.sum("n").alias("n"))
     left = counted.where("digest IS NOT NULL").withColumnRenamed("n", "need").join(counts, "owner").where("n >= need").select("digest").distinct()
-    ids = written(classes.join(left, "digest").select(F.col("id").alias("doc_id")), "left")
+    left = written(classes.join(left, "digest").select("id", "members", F.col("first.file").alias("file"), F.col("first.row").alias("row")), "left")
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_chunks(batches, "text", TEXT_BYTES):
             offsets, hashes = shingle_sets(texts, WIDTH, lower=True)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(offsets)), pa.array([hashes[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:])], pa.binary())], names=["id", "n", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("members"), pa.array(np.diff(offsets)), pa.array([hashes[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:])], pa.binary())], names=["id", "members", "n", "shingles"])
 
-    # repeated rows of a doc_id have the same set or not: any with the class's digest will do
-    sets = written(picked(read, F.col("doc_id"), ids, F.col("doc_id")).join(ids, "doc_id", "left_semi").mapInArrow(sets_of, "id long, n long, shingles binary").dropDuplicates(["id"]), "left-sets")
+    here = [F.col("file"), F.col("row")]
+    sets = written(picked(read.select("file", "row", "text"), here, left, here).join(left, ["file", "row"]).select("id", "members", "text").mapInArrow(sets_of, "id long, members long, n long, shingles binary"), "left-sets")
     stars = sets.select("id", "shingles").mapInArrow(lambda b: emit_stars(b, buckets), ROWS)
     near = components(stars.groupBy("bucket").applyInArrow(join_stars, "a long, b long"))
-    members = written(sets.join(near, sets["id"] == near["node"]).select("component", "id", "n", "shingles"), "members")
+    grouped = written(sets.join(near, sets["id"] == near["node"]).select("component", "id", "members", "n", "shingles"), "members")
+    pairs = written(_compared(grouped), "links")
+    done_with(counted, left, sets, grouped)
 
-    edges = written(_compared(members), "links")
-    ends = edges.select("a", "b").union(edges.select("b", "a"))
-    linked = ends.join(classes, F.col("b") == classes["id"]).groupBy("a").agg(F.sum("members").alias("others"))
-    whole = components(edges)
+    linked = pairs.where("b IS NULL").groupBy("a").agg(F.sum("others").alias("others"))
+    whole = components(pairs.where("b IS NOT NULL").select("a", "b"))
     known = classes.join(linked, classes["id"] == linked["a"], "left").join(whole, classes["id"] == whole["node"], "left")
+    leads = known.where("component IS NOT NULL").groupBy("component").agg(F.min("first").alias("lead"))
+    known = known.join(leads, "component", "left")
     # classes of one row without links have nothing to tell
-    known = known.select("digest", "digest2", (F.col("members") - 1 + F.coalesce("others", F.lit(0))).alias("n_similar"), F.coalesce("component", "id").alias("component_id")).where("n_similar > 0")
+    known = known.select("digest", "digest2", (F.col("members") - 1 + F.coalesce("others", F.lit(0))).alias("n_similar"), F.coalesce("lead", "first").alias("lead")).where("n_similar > 0")
+    return placed, names, rows, known
+
+
+def similar(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, n_similar and component_id of every row of docs."""
+    _, _, rows, known = _judged(docs)
     out = rows.join(known, ["digest", "digest2"], "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("n_similar", F.lit(0)).cast("long").alias("n_similar"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.select("doc_id", "n_shingles", F.coalesce("n_similar", F.lit(0)).cast("long").alias("n_similar"), F.coalesce("lead.doc_id", "doc_id").alias("component_id"))
 
 
 def _compared(members: DataFrame) -> DataFrame:
@@ -372,29 +412,30 @@ def _compared(members: DataFrame) -> DataFrame:
     bounds = F.array(*[F.lit(int(b)) for b in _BOUNDS[:80]])
     level = F.size(F.filter(bounds, lambda b: b < F.col("n")))
     joined = members.join(sizes, "component")
-    small = joined.where(F.col("total") <= BLOCK_SHINGLES).select("component", F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(0).alias("bx"), F.lit(0).alias("by"), "id", "shingles", F.lit(2).alias("side"))
+    small = joined.where(F.col("total") <= BLOCK_SHINGLES).select("component", F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(0).alias("bx"), F.lit(0).alias("by"), "id", "members", "shingles", F.lit(2).alias("side"))
     large = joined.where(F.col("total") > BLOCK_SHINGLES).withColumn("level", level)
     per = large.groupBy("component", "level").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
     cut = large.join(per, ["component", "level"]).withColumn("block", F.pmod(F.xxhash64("id", F.lit(3)), F.col("blocks")).cast("int"))
     up = per.select("component", (F.col("level") - 1).alias("level"), F.col("blocks").alias("above"))
     down = per.select("component", (F.col("level") + 1).alias("level"), F.col("blocks").alias("below"))
     cut = cut.join(up, ["component", "level"], "left").join(down, ["component", "level"], "left").drop("total")
-    common = ["component", "id", "shingles"]
+    common = ["component", "id", "members", "shingles"]
     upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1))
     # within a level: blocks x <= y; between a level and the next: every block of both
     same = cut.withColumn("other", F.explode(upto(F.col("blocks")))).select(*common, F.col("level").alias("x"), F.col("level").alias("y"), F.least("block", "other").alias("bx"), F.greatest("block", "other").alias("by"), F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1).alias("side"))
     as_low = cut.withColumn("other", F.explode(upto(F.col("above")))).select(*common, F.col("level").alias("x"), (F.col("level") + 1).alias("y"), F.col("block").alias("bx"), F.col("other").alias("by"), F.lit(0).alias("side"))
     as_high = cut.withColumn("other", F.explode(upto(F.col("below")))).select(*common, (F.col("level") - 1).alias("x"), F.col("level").alias("y"), F.col("other").alias("bx"), F.col("block").alias("by"), F.lit(1).alias("side"))
     keys = ["component", "x", "y", "bx", "by"]
-    order = [*keys, "id", "shingles", "side"]
+    order = [*keys, "id", "members", "shingles", "side"]
     groups = small.select(*order).unionByName(same.select(*order)).unionByName(as_low.select(*order)).unionByName(as_high.select(*order))
-    return groups.groupBy(*keys).applyInArrow(compare, "a long, b long")
+    return groups.groupBy(*keys).applyInArrow(compare, "a long, others long, b long")
 
 
 def representatives(docs: DataFrame) -> DataFrame:
-    """docs without the near copies: of each component the row with the smallest doc_id stays."""
-    found = similar(docs)
-    return without(docs, found.where("doc_id <> component_id").select("doc_id"))
+    """docs without the near copies: of each component one row stays, that of the smallest doc_id (any doc_id before a null one), then the first by file and place."""
+    placed, names, rows, known = _judged(docs)
+    found = rows.join(known, ["digest", "digest2"])
+    return without(placed, names, found.where("NOT (file = lead.file AND row = lead.row)").select("file", "row"))
 
 
 def op2(docs: DataFrame) -> DataFrame:
