@@ -1,181 +1,147 @@
-"""Substring dedup by hashing sentences of lines.
-
-A unit ends with a line or, within one, after the marks that end a sentence, so that a
-passage is found wherever in a line it stands; all units of a text, one after another, are
-the text. Units are normalised (words between single spaces, A-Z in lower case) and
-digested to 128 bits. Digests are grouped globally; of each group the occurrence that is
-first by (doc_id, place in the text) stays and the others are removed. Units of fewer than
-MIN_WORDS words stay always: they repeat for no reason. What is removed keeps its offsets
-in the original text.
-
-Each task keeps the first occurrence of a digest and counts the rest before anything is
-sent, so a unit that a third of all documents have is one row a task; only occurrences
-of digests that repeat (picked by a bitmap of fixed size) are joined, against one row per
-digest, so that a hot digest can be split between tasks.
-
-Cases: a null text is empty and has no units; repeated rows (same doc_id and place) are the
-same occurrence and all keep it; a null doc_id is the smallest; an empty table gives no
-rows; other columns are not read.
+"""Substring dedup by hashing lines or paragraphs.
+
+A text is cut into units: `line` (up to and with its newline), `paragraph` (up to and with the
+blank lines after it) or, beyond the method, `sentence` (a line's parts up to the marks that end
+a sentence). All units of a text, one after another, are the text. Units are normalised (words
+between single spaces, A-Z in lower case) and digested to 128 bits by BLAKE2b, so two different
+units share a digest with a chance of about 2**-128 a pair, and none can be made to by any
+known way. Digests are grouped globally; of each group the occurrence that is first by
+(doc_id, place in the text) stays and the others are removed. What is removed keeps its offsets
+in the original text. A unit of any length counts, but one without a word, as blank lines are,
+stays.
+
+Each task keeps the first two occurrences of a digest before anything is sent, so a unit that a
+third of all documents have is two rows a batch of a task; only occurrences of digests that
+repeat (picked by a bitmap of fixed size) are joined, against one row per digest, so that a hot
+digest can be split between tasks. Rows are told apart by file and place.
+
+Cases: a null text is empty and has no units; a null doc_id comes after all others; of repeated
+rows and of rows with equal doc_ids the first by file and place is the earlier; an empty table
+gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._arrays import Buffer, mix, text_chunks, texts_of
-from ._spark import picked, written
-
-MIN_WORDS = 6
-_SOLID = np.ones(256, bool)
-_SOLID[[9, 10, 11, 12, 13, 32]] = False
-_MARK = np.zeros(256, bool)
-_MARK[list(b".!?")] = True
-_FACTOR = 0xC2B2AE3D27D4EB4F
-
-
-def unit_ends(data: np.ndarray) -> np.ndarray:
-    """Whether a unit ends with each byte of UTF-8: a newline, or the last of a run of . ! ? and the ideographic full stop."""
-    mark = _MARK[data]
-    if len(data) > 2:
-        wide = np.flatnonzero((data[:-2] == 0xE3) & (data[1:-1] == 0x80) & (data[2:] == 0x82))
-        for k in range(3):
-            mark[wide + k] = True
-    ends = mark.copy()
-    ends[:-1] &= ~mark[1:]
-    return ends | (data == 10)
-
-
-def units_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, unit, words, digest, digest) of every unit of the texts that has a word."""
-    buffer = Buffer(texts, lower=True)
-    data = buffer.data
-    ends = unit_ends(data)
-    solid = _SOLID[data]
-    begins = solid.copy()
-    begins[1:] &= ~solid[:-1] | ends[:-1]
-    stops = solid & ends
-    stops[:-1] |= solid[:-1] & ~solid[1:]
-    starts, stops = np.flatnonzero(begins), np.flatnonzero(stops) + 1
-    h = buffer.hashes(starts, stops)
-    # a unit's number in the buffer: how many ends there are before it, a text's end counting as one
-    last = buffer.starts[1:] - 1
-    ends[last] = True  # the space after a text
-    before = np.cumsum(ends) - ends
-    unit = before[starts]
-    new = np.ones(len(unit), bool)
-    new[1:] = unit[1:] != unit[:-1]
-    first = np.flatnonzero(new)
-    n = np.diff(np.concatenate([first, [len(unit)]]))
-    place = (np.arange(len(unit)) - np.repeat(first, n)).astype(np.uint64)
-    two = [np.add.reduceat(mix(h ^ mix(place + np.uint64(salt * _FACTOR & (1 << 64) - 1))), first) if len(first) else np.zeros(0, np.uint64) for salt in (1, 2)]
-    doc = np.searchsorted(buffer.starts, starts[first], "right") - 1
-    return doc, unit[first] - before[buffer.starts[:-1]][doc], n, *(mix(x + n.astype(np.uint64)) for x in two)
-
-
-def parts_of(text: bytes) -> list[bytes]:
-    """The units of a text."""
-    if not text:
-        return []
-    at = np.flatnonzero(unit_ends(np.frombuffer(text, np.uint8))) + 1
-    cuts = [0, *at.tolist(), *([len(text)] if not len(at) or at[-1] < len(text) else [])]
-    return [text[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
-
-
-_UNITS = "doc_id long, tag long, unit int, d1 long, d2 long"
-
-
-def occurrences(docs: DataFrame, min_words: int = MIN_WORDS, firsts: bool = False) -> DataFrame:
-    """doc_id, tag, unit and two digests of every unit of at least min_words words. firsts: of a digest that a task has more than once, its smallest two only."""
+from ._arrays import texts_of
+from ._spark import located, picked, written
+
+_SENTENCE = re.compile(rb"(?:(?!\xe3\x80\x82)[^.!?\n])*(?:(?:[.!?]|\xe3\x80\x82)+|\n)|(?:(?!\xe3\x80\x82)[^.!?\n])+")
+_PARAGRAPH = re.compile(rb"(?:\n[\x20\x09\x0b-\x0d]*)+\n")
+#: Occurrences that a task has at a time.
+FLUSH = 1 << 18
+
+
+def _lines(text: bytes) -> list[bytes]:
+    *ended, last = text.split(b"\n")
+    return [*(p + b"\n" for p in ended), *([last] if last else [])]
+
+
+def _paragraphs(text: bytes) -> list[bytes]:
+    cuts = [0, *(m.end() for m in _PARAGRAPH.finditer(text)), len(text)]
+    return [text[a:b] for a, b in zip(cuts[:-1], cuts[1:]) if b > a]
+
+
+UNITS: dict[str, Callable[[bytes], list[bytes]]] = {
+    "line": _lines,
+    "paragraph": _paragraphs,
+    "sentence": _SENTENCE.findall,
+}
+
+
+def digests_of(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the units that have a word, and their digests (rows of two int64)."""
+    normal = [b" ".join(p.lower().split()) for p in parts]
+    solid = [i for i, p in enumerate(normal) if p]
+    raw = b"".join([hashlib.blake2b(normal[i], digest_size=16).digest() for i in solid])
+    return np.array(solid, np.int64), np.frombuffer(raw, np.int64).reshape(-1, 2)
+
+
+_COLUMNS = ["no_id", "doc_id", "file", "row", "unit", "d1", "d2"]
+
+
+def occurrences(read: DataFrame, unit: str, firsts: bool = False) -> DataFrame:
+    """no_id (1: doc_id is null), doc_id, file, row, unit and two digests of every unit that has a word. firsts: of a digest that a task has more than once, its first two only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cut = UNITS[unit]
         held: list[np.ndarray] = []
 
         def out() -> pa.RecordBatch:
             rows = np.concatenate(held)
             held.clear()
             if firsts:
-                rows = rows[np.lexsort((rows[:, 2], rows[:, 0], rows[:, 4], rows[:, 3]))]
-                same = (rows[1:, 3:] == rows[:-1, 3:]).all(1)
+                rows = rows[np.lexsort(rows.T[[4, 3, 2, 1, 0, 6, 5]])]  # by digest, then as they rank
+                same = (rows[1:, 5:] == rows[:-1, 5:]).all(1)
                 third = np.zeros(len(rows), bool)
                 third[2:] = same[1:] & same[:-1]
                 rows = rows[~third]
-            return pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1]), pa.array(rows[:, 2].astype(np.int32)), pa.array(rows[:, 3]), pa.array(rows[:, 4])], names=["doc_id", "tag", "unit", "d1", "d2"])
+            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in rows.T], names=_COLUMNS)
 
         size = 0
-        for batch, texts in text_chunks(batches, "text"):
-            doc, unit, n, d1, d2 = units_of(texts)
-            some = n >= min_words
-            ids, tags = batch.column("doc_id").to_numpy(), batch.column("tag").to_numpy()
-            held.append(np.column_stack([ids[doc[some]], tags[doc[some]], unit[some], d1[some].view(np.int64), d2[some].view(np.int64)]))
-            size += int(some.sum())
-            if size >= 1 << 18:
-                yield out()
-                size = 0
-        if held:
+        for batch in batches:
+            ids = batch.column("doc_id")
+            where = np.column_stack([ids.is_null().to_numpy(zero_copy_only=False).astype(np.int64), ids.fill_null(0).to_numpy(), batch.column("file").to_numpy(), batch.column("row").to_numpy()])
+            for at, text in zip(where, texts_of(batch.column("text"))):
+                units, digests = digests_of(cut(text))
+                held.append(np.column_stack([np.broadcast_to(at, (len(units), 4)), units, digests]))
+                size += len(units)
+                if size >= FLUSH:
+                    yield out()
+                    size = 0
+        if size:
             yield out()
 
-    return docs.select("doc_id", "tag", "text").mapInArrow(run, _UNITS)
-
-
-#: What a null doc_id counts as.
-_NO_ID = -(1 << 63)
+    return read.mapInArrow(run, ", ".join(f"{c} long" for c in _COLUMNS))
 
 
-def _read(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("tag", F.xxhash64("text"))
-
-
-def removed(read: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, tag and unit of every occurrence that isn't its digest's first. read: doc_id, tag, text."""
-    firsts = occurrences(read, min_words, firsts=True)
-    groups = firsts.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "unit")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    groups = written(groups, "units")
-    return picked(occurrences(read, min_words), F.col("d1"), groups, F.col("d1")).join(groups, ["d1", "d2"]).where(F.struct("doc_id", "unit") != F.col("first")).select("doc_id", "tag", "unit")
-
-
-def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def dedup(docs: DataFrame, unit: str = "line") -> DataFrame:
     """doc_id, n_units, n_removed, kept_sha256 and the spans (bytes, ends exclusive) that were removed of every row of docs."""
-    read = _read(docs)
-    gone = written(removed(read, min_words).groupBy("doc_id", "tag").agg(F.sort_array(F.collect_set("unit")).alias("units")), "units-gone")
+    placed, names = located(docs)
+    file, row = (F.col(n).alias(x) for n, x in zip(names, ("file", "row")))
+    read = placed.select(F.col("doc_id").cast("long").alias("doc_id"), file, row, F.coalesce("text", F.lit("")).alias("text"))
+    first = F.min(F.struct("no_id", "doc_id", "file", "row", "unit")).alias("first")
+    groups = written(occurrences(read, unit, firsts=True).groupBy("d1", "d2").agg(first, F.count("*").alias("n")).where("n > 1").drop("n"), "units")
+    here = [F.col("d1"), F.col("d2")]
+    removed = picked(occurrences(read, unit), here, groups, here).join(groups, ["d1", "d2"]).where("NOT (file = first.file AND row = first.row AND unit = first.unit)")
+    gone = written(removed.groupBy("file", "row").agg(F.sort_array(F.collect_set(F.col("unit").cast("int"))).alias("units")), "units-gone")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[], [], [], []]
             for text, units in zip(texts_of(batch.column("text")), batch.column("units").to_pylist()):
-                some, at, kept, starts, ends = set(units), 0, [], [], []
-                for i, part in enumerate(parts_of(text)):
+                some, at, kept, starts, ends = set(units), 0, hashlib.sha256(), [], []
+                for i, part in enumerate(UNITS[unit](text)):
                     if i in some:
                         starts.append(at)
                         ends.append(at + len(part))
                     else:
-                        kept.append(part)
+                        kept.update(part)
                     at += len(part)
-                for column, value in zip(out, (len(some), hashlib.sha256(b"".join(kept)).hexdigest(), starts, ends)):
+                for column, value in zip(out, (len(some), kept.hexdigest(), starts, ends)):
                     column.append(value)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tag"), pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.list_(pa.int64())), pa.array(out[3], pa.list_(pa.int64()))], names=["doc_id", "tag", "n_removed", "cut_sha256", "span_starts", "span_ends"])
+            yield pa.RecordBatch.from_arrays([batch.column("file"), batch.column("row"), pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.list_(pa.int64())), pa.array(out[3], pa.list_(pa.int64()))], names=["file", "row", "n_removed", "cut_sha256", "span_starts", "span_ends"])
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in text_chunks(batches, "text"):
-            buffer = Buffer(texts)
-            ends = np.concatenate([[0], np.cumsum(unit_ends(buffer.data))])
-            low, high = buffer.starts[:-1], buffer.starts[1:] - 1  # without the space after each
-            n = ends[high] - ends[low]
-            full = high > low
-            n[full] += ends[high[full]] == ends[high[full] - 1]  # a last unit without a mark
-            digests = [hashlib.sha256(t).hexdigest() for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tag"), pa.array(n), pa.array(digests, pa.string())], names=["doc_id", "tag", "n_units", "whole"])
-
-    texts = picked(read, F.col("doc_id"), gone, F.col("doc_id")).join(gone, ["doc_id", "tag"]).dropDuplicates(["doc_id", "tag"])
-    done = texts.select("doc_id", "tag", "text", "units").mapInArrow(cut, "doc_id long, tag long, n_removed long, cut_sha256 string, span_starts array<long>, span_ends array<long>")
-    every = read.mapInArrow(counted, "doc_id long, tag long, n_units long, whole string").join(done, ["doc_id", "tag"], "left")
+        for batch in batches:
+            texts = texts_of(batch.column("text"))
+            n = [len(UNITS[unit](t)) for t in texts]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "file", "row")), pa.array(n, pa.int64()), pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string())], names=["doc_id", "file", "row", "n_units", "whole"])
+
+    at = [F.col("file"), F.col("row")]
+    texts = picked(read, at, gone, at).join(gone, ["file", "row"])
+    done = texts.select("file", "row", "text", "units").mapInArrow(cut, "file long, row long, n_removed long, cut_sha256 string, span_starts array<long>, span_ends array<long>")
+    every = read.mapInArrow(counted, "doc_id long, file long, row long, n_units long, whole string").join(done, ["file", "row"], "left")
     none = F.array().cast("array<bigint>")
-    return every.select(F.nullif(F.col("doc_id"), F.lit(_NO_ID)).alias("doc_id"), "n_units", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("cut_sha256", "whole").alias("kept_sha256"), F.coalesce("span_starts", none).alias("span_starts"), F.coalesce("span_ends", none).alias("span_ends"))
+    return every.select("doc_id", "n_units", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("cut_sha256", "whole").alias("kept_sha256"), F.coalesce("span_starts", none).alias("span_starts"), F.coalesce("span_ends", none).alias("span_ends"))
 
 
 def op6(docs: DataFrame) -> DataFrame:
@@ -183,11 +149,10 @@ def op6(docs: DataFrame) -> DataFrame:
 
 
 SQL = r"""
-WITH split AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^.!?。\n]*(?:[.!?。]+|\n)|[^.!?。\n]+') AS parts FROM documents),
+WITH split AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS parts FROM documents),
 units AS (SELECT doc_id, unnest(parts) AS part, unnest(range(len(parts))) AS unit FROM split),
 normal AS (SELECT doc_id, unit, part, trim(regexp_replace(translate(part, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g')) AS u FROM units),
-counted AS (SELECT doc_id, unit, part, u, len(string_split(u, ' ')) >= 6 AS counts FROM normal),
-ranked AS (SELECT doc_id, unit, part, counts AND row_number() OVER (PARTITION BY u, counts ORDER BY doc_id, unit) > 1 AS gone FROM counted),
+ranked AS (SELECT doc_id, unit, part, u <> '' AND row_number() OVER (PARTITION BY u ORDER BY doc_id NULLS LAST, unit) > 1 AS gone FROM normal),
 cut AS (SELECT doc_id, count(*) AS n_units, CAST(sum(CAST(gone AS INT)) AS BIGINT) AS n_removed, coalesce(string_agg(part, '' ORDER BY unit) FILTER (WHERE NOT gone), '') AS kept FROM ranked GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n_units, 0) AS n_units, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM documents d LEFT JOIN cut USING (doc_id)
 """
