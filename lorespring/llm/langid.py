@@ -6,7 +6,11 @@ the counts are added up per (language, bucket), and only that table (languages x
 buckets, at most) reaches the driver. The matrix is broadcast; scoring is a sparse
 gather of its rows in numpy, summed per text.
 
-Cases: a null text, or one without a letter, is `und` with score 0. Texts are
+The prior is uniform: how many documents of a language there are to learn from says nothing
+of the texts to come. `score` is the posterior probability under it.
+
+Cases: a null text, or one without a letter, is `und` with score 0. A row without doc_id is
+in no fold: it is scored, held_out is false, and it doesn't teach. Texts are
 scored whole, however long. Equal texts get equal results. Rows whose lang is null
 don't teach. Without any row to learn from, every text is `und`. Other columns,
 whatever their names, are neither read nor changed.
@@ -29,8 +33,8 @@ from ._arrays import chunks
 #: Fit on about this many documents of each language at most; the choice is a hash of doc_id.
 FIT_PER_LANGUAGE = 2000
 BUCKETS = 1 << 15
-#: More languages are refused: the matrix that is broadcast has a column for each.
-MOST_LANGUAGES = 1000
+#: Numbers of the matrix that is broadcast (128 MB), which has a column for each language: past 1024 languages, n-grams are hashed to fewer buckets.
+MATRIX, LEAST_BUCKETS = 1 << 25, 1 << 8
 ORDERS = (1, 2, 3)
 #: A text fits a language if the mean log-likelihood of its n-grams is at most MARGIN + SPREAD / sqrt(n-grams) below what is usual there: few n-grams vary more.
 MARGIN, SPREAD = 1.5, 15.0
@@ -120,9 +124,9 @@ def teaches(doc_id: Column, lang: Column, text: Column) -> Column:
 def fit(docs: DataFrame, per_language: int = FIT_PER_LANGUAGE, buckets: int = BUCKETS) -> Model:
     """Fit on the rows of docs that teaches() allows: all of a language with up to `per_language`, else about so many, by a hash of doc_id."""
     allowed = docs.select("doc_id", "lang", "text").where(teaches(F.col("doc_id"), F.col("lang"), F.col("text")))
-    rows = allowed.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()
-    if len(rows) > MOST_LANGUAGES:
-        raise ValueError(f"over {MOST_LANGUAGES} languages")
+    rows = allowed.groupBy("lang").count().collect()  # one row a language
+    while len(rows) * buckets > MATRIX and buckets > LEAST_BUCKETS:
+        buckets //= 2
     have = docs.sparkSession.createDataFrame(rows, "lang string, count long")
     part = F.least(F.lit(1.0), per_language / F.col("count"))
     sample = allowed.join(F.broadcast(have), "lang").where(F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1 << 20)) < F.ceil(part * (1 << 20)))
@@ -189,4 +193,4 @@ def accepted(docs: DataFrame, model: Model, least: float = ACCEPT) -> DataFrame:
 def op1(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred and score of every document."""
     model = fit(docs)
-    return predict(docs, model, ["doc_id"]).select("doc_id", (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1).alias("held_out"), "lang_pred", "score")
+    return predict(docs, model, ["doc_id"]).select("doc_id", F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
