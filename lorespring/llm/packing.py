@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -42,20 +43,21 @@ SLICE_ROWS, MOST_SLICES = 1 << 16, 1 << 14
 
 @functools.cache
 def encoder(vocabulary: str):
-    """texts -> lists of ids. A byte-level BPE of which a rank file is there too is run by tiktoken, which gives the same ids several times faster; others by tokenizers."""
+    """texts -> lists of ids, as tokenizers gives them without added special tokens (a special token's own string in a text is its id). A byte-level BPE of which a rank file is there too is run by tiktoken, which gives the same ids several times faster; others by tokenizers."""
     import public_tokenizers
 
     if vocabulary == "byte_bpe_50k.json":
         import tiktoken
 
+        with open(public_tokenizers.path(vocabulary), encoding="utf-8") as file:
+            special = {t["content"]: t["id"] for t in json.load(file)["added_tokens"]}
         with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        fast = tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        return lambda texts: [fast.encode_ordinary(t) for t in texts]
+        fast = tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+        return lambda texts: [fast.encode(t, allowed_special="all") if any(s in t for s in special) else fast.encode_ordinary(t) for t in texts]
     from tokenizers import Tokenizer
 
     slow = Tokenizer.from_file(public_tokenizers.path(vocabulary))
-    slow.encode_special_tokens = True
     return lambda texts: [e.ids for e in slow.encode_batch(texts, add_special_tokens=False)]
 
 
