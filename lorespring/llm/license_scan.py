@@ -94,8 +94,8 @@ class Index:
     def minhash(self, h: np.ndarray) -> np.ndarray:
         return mix(h[None, :] ^ self.salts[:, None]).min(1)
 
-    def find(self, h: np.ndarray) -> set[int]:
-        """Templates that a text with these shingles, in order, contains."""
+    def find(self, h: np.ndarray, every: bool = False) -> set[int]:
+        """Templates that a text with these shingles, in order, contains. every: sketch all windows, also those that have too few shingles of any template to be verified; the result is the same."""
         found: set[int] = set()
         if not len(self.known):
             return found
@@ -104,12 +104,12 @@ class Index:
         member = self.member[:, place[hits]]
         enough = member.sum(1) >= self.least
         for (scale, table), own, least, some in zip(self.bands.items(), member, self.least, enough):
-            if not some:
+            if not some and not every:
                 continue
             half = scale // 2
             at = hits[own]
             steps = np.unique(np.concatenate([at // half, np.maximum(at // half - 1, 0)]))
-            steps = steps[np.searchsorted(at, steps * half + scale) - np.searchsorted(at, steps * half) >= least]
+            steps = np.arange(-(-len(h) // half)) if every else steps[np.searchsorted(at, steps * half + scale) - np.searchsorted(at, steps * half) >= least]
             for step in steps.tolist():
                 window = np.unique(h[step * half : step * half + scale])
                 for band, value in enumerate(self.minhash(window).tolist()):
