@@ -137,7 +137,8 @@ def dedup(docs: DataFrame, unit: str = "line") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "file", "row")), pa.array(n, pa.int64()), pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string())], names=["doc_id", "file", "row", "n_units", "whole"])
 
     at = [F.col("file"), F.col("row")]
-    texts = picked(read, at, gone, at).join(gone, ["file", "row"])
+    # joined in the same way at every size: the shuffle of these texts is what it costs
+    texts = picked(read, at, gone, at).join(gone.hint("merge"), ["file", "row"])
     done = texts.select("file", "row", "text", "units").mapInArrow(cut, "file long, row long, n_removed long, cut_sha256 string, span_starts array<long>, span_ends array<long>")
     every = read.mapInArrow(counted, "doc_id long, file long, row long, n_units long, whole string").join(done, ["file", "row"], "left")
     none = F.array().cast("array<bigint>")
