@@ -148,5 +148,6 @@ def without(docs: DataFrame, names: list[str], gone: DataFrame) -> DataFrame:
     kept = [F.col(f"`{c}`") for c in columns]
     marked = mark(docs, [F.col(n) for n in names[:2]], gone, [F.col("file"), F.col("row")])
     file, row = (F.col(n) for n in names[:2])
-    unsure = marked.where("__may").join(gone.select(F.col("file").alias("__gone_file"), F.col("row").alias("__gone_row")), (file == F.col("__gone_file")) & (row == F.col("__gone_row")), "left_anti")
+    hit = gone.select(F.col("file").alias("__gone_file"), F.col("row").alias("__gone_row")).hint("merge")  # in the same way at every size
+    unsure = marked.where("__may").join(hit, (file == F.col("__gone_file")) & (row == F.col("__gone_row")), "left_anti")
     return marked.where("NOT __may").select(*kept).unionByName(unsure.select(*kept))

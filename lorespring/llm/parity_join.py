@@ -382,7 +382,7 @@ def _judged(docs: DataFrame) -> tuple[DataFrame, list[str], DataFrame, DataFrame
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("members"), pa.array(np.diff(offsets)), pa.array([hashes[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:])], pa.binary())], names=["id", "members", "n", "shingles"])
 
     here = [F.col("file"), F.col("row")]
-    sets = written(picked(read.select("file", "row", "text"), here, left, here).join(left, ["file", "row"]).select("id", "members", "text").mapInArrow(sets_of, "id long, members long, n long, shingles binary"), "left-sets")
+    sets = written(picked(read.select("file", "row", "text"), here, left, here).join(left.hint("merge"), ["file", "row"]).select("id", "members", "text").mapInArrow(sets_of, "id long, members long, n long, shingles binary"), "left-sets")
     stars = sets.select("id", "shingles").mapInArrow(lambda b: emit_stars(b, buckets), ROWS)
     near = components(stars.groupBy("bucket").applyInArrow(join_stars, "a long, b long"))
     grouped = written(sets.join(near, sets["id"] == near["node"]).select("component", "id", "members", "n", "shingles"), "members")
