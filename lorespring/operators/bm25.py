@@ -43,27 +43,75 @@ def search(docs: DataFrame, queries: DataFrame, k: int, id_: str = "doc_id", tex
 
 
 class Index:
-    """The postings and lengths of a document set as tables in a folder, written once and searched often. Postings are sorted by term, so a search reads the row groups of its terms."""
+    """The postings and lengths of a document set as tables in a folder, written once and searched often.
+
+    Postings lie in folders by a hash of their term and are sorted by it, so a search that asks up to FEW terms reads the row groups of these; of more terms it reads the folders that a join
+    asks for. Documents that are added are one more part of each table, those that are removed are tombstones; how many documents and tokens there are is counted over the narrow table of lengths.
+    """
+
+    FEW, FOLDERS = 2000, 32
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
 
+    def _read(self, name: str, kind: str) -> DataFrame:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        there = at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+        return self.spark.read.schema(kind).parquet(f"{self.path}/{name}") if there else self.spark.createDataFrame([], kind)
+
+    def _write(self, docs: DataFrame, mode: str) -> None:
+        rows = tokenised(docs, "doc_id", "text")
+        terms = rows.select("doc_id", "doc_len", F.explode("tokens").alias("term")).groupBy("doc_id", "doc_len", "term").agg(F.count("*").alias("tf"))
+        part = F.pmod(F.xxhash64("term"), F.lit(self.FOLDERS)).cast("int")
+        terms.withColumn("part", part).repartition("part").sortWithinPartitions("part", "term", "doc_id").write.mode(mode).partitionBy("part").parquet(f"{self.path}/postings")
+        rows.select("doc_id", "doc_len").write.mode(mode).parquet(f"{self.path}/lengths")
+
     def build(self, docs: DataFrame, id_: str = "doc_id", text: str = "text") -> Index:
         """Replace what is there by an index of docs."""
-        tokenised(docs, id_, text).select("doc_id", "doc_len").write.mode("overwrite").parquet(f"{self.path}/lengths")
-        terms = postings(docs, id_, text).join(self.spark.read.parquet(f"{self.path}/lengths"), "doc_id")
-        terms.repartitionByRange("term").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{self.path}/postings")
+        self.clear()
+        self._write(docs.select(F.col(id_).alias("doc_id"), F.col(text).alias("text")), "overwrite")
+        return self
+
+    def add(self, docs: DataFrame, id_: str = "doc_id", text: str = "text") -> Index:
+        """Index the documents whose ids it doesn't have; the others stay as they are. An id that was removed can be added again after compact()."""
+        new = docs.select(F.col(id_).alias("doc_id"), F.col(text).alias("text")).dropDuplicates(["doc_id"])
+        self._write(new.join(self._read("lengths", "doc_id long, doc_len long").select("doc_id"), "doc_id", "left_anti"), "append")
+        return self
+
+    def remove(self, gone: DataFrame, id_: str = "doc_id") -> Index:
+        gone.select(F.col(id_).cast("long").alias("doc_id")).write.mode("append").parquet(f"{self.path}/removed")
         return self
 
+    def clear(self) -> None:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+    def loaded(self) -> bool:
+        return len(self) > 0
+
+    def _live(self, table: DataFrame) -> DataFrame:
+        gone = self._read("removed", "doc_id long")
+        return table if gone.isEmpty() else table.join(gone.distinct(), "doc_id", "left_anti")
+
     def __len__(self) -> int:
         """How many documents there are: an index of none isn't loaded."""
-        return self.spark.read.parquet(f"{self.path}/lengths").count()
+        return self._live(self._read("lengths", "doc_id long, doc_len long")).count()
 
     def search(self, queries: DataFrame, k: int, query_id: str = "query_id", query_text: str = "query") -> DataFrame:
+        """As search() over the documents of the index."""
         asked = _asked(queries, query_id, query_text)
-        found = self.spark.read.parquet(f"{self.path}/postings").join(asked.select("term").distinct(), "term", "left_semi")
-        totals = self.spark.read.parquet(f"{self.path}/lengths").agg(F.count("*").alias("n"), F.avg("doc_len").alias("avgdl"))
-        return _ranked(found, totals, asked, k, query_id)
+        terms = [r[0] for r in asked.select("term").distinct().limit(self.FEW + 1).collect()]  # FEW + 1 words at most
+        found = self._read("postings", "doc_id long, doc_len long, term string, tf long, part int")
+        if len(terms) <= self.FEW:
+            found = found.where(F.col("term").isin(terms) & F.col("part").isin([r[0] for r in _parts(self.spark, terms, self.FOLDERS)]))
+        else:
+            found = found.join(asked.select("term").distinct(), "term", "left_semi")
+        totals = self._live(self._read("lengths", "doc_id long, doc_len long")).agg(F.count("*").alias("n"), F.avg("doc_len").alias("avgdl"))
+        return _ranked(self._live(found.drop("part")), totals, asked, k, query_id)
+
+
+def _parts(spark: SparkSession, terms: list[str], folders: int) -> list:
+    return spark.createDataFrame([(t,) for t in terms], "term string").select(F.pmod(F.xxhash64("term"), F.lit(folders)).cast("int")).distinct().collect()
 
 
 def _asked(queries: DataFrame, query_id: str, query_text: str) -> DataFrame:

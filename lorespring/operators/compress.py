@@ -17,10 +17,10 @@ def compressed(docs: DataFrame, max_chars: int = 0, text: str = "text", id_: str
     """
     whole = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(id_), whole.alias("whole"), sentences(whole).alias("ss"))
-    rows = rows.withColumn("ns", F.transform("ss", normal_sentence))
-    # the distinct normal forms stand in the order of their first sentences
-    kept = F.transform(F.array_distinct("ns"), lambda n: F.get(F.col("ss"), (F.array_position("ns", n) - 1).cast("int")))
-    rows = rows.withColumn("kept", kept).withColumn("joined", F.array_join("kept", " "))
+    # of equal normal forms the first place: forms sorted with their places, one pass over neighbours
+    placed = F.array_sort(F.transform("ss", lambda s, i: F.struct(normal_sentence(s).alias("n"), i.alias("i"))))
+    rows = rows.withColumn("__placed", placed).withColumn("__first", F.expr("array_sort(transform(filter(__placed, (x, k) -> k = 0 OR x.n <> __placed[k - 1].n), x -> x.i))"))
+    rows = rows.withColumn("kept", F.transform("__first", lambda i: F.get(F.col("ss"), i))).withColumn("joined", F.array_join("kept", " "))
     cut = F.substring("joined", 1, max_chars)
     ended = F.regexp_extract(cut, f"(?s)^(.*[{TERMINATORS}])", 1)
     final = F.when(F.length("joined") > max_chars, F.when(ended != "", ended).otherwise(cut)).otherwise(F.col("joined")) if max_chars > 0 else F.col("joined")
@@ -49,3 +49,15 @@ def compressed_by_similarity(texts: DataFrame, queries: DataFrame, embed, top: i
     best = scored_sentences(texts, queries, embed, top, least)
     joined = best.groupBy("query_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("index", "sentence"))), lambda x: x["sentence"]), " ").alias("text"))
     return compressed(joined, 0, "text", "query_id")
+
+
+def compressed_for_queries(docs: DataFrame, queries: DataFrame, embed, top: int = 15, least: float = 0.2, text: str = "text", id_: str = "doc_id") -> DataFrame:
+    """(query_id, id, text, ...) of compressed() over the sentences of each text that are nearest to each query (query_id, embedding), in their order. A sentence is embedded once, whatever is asked of it; every query is held against every text."""
+    parts = docs.select(F.col(id_), F.posexplode(sentences(F.col(text))).alias("index", "sentence")).where(F.trim("sentence") != "").withColumn("__v", embed(F.col("sentence")))
+    pairs = parts.crossJoin(queries.select("query_id", "embedding"))
+    scored = pairs.withColumn("similarity", F.round(cosine_in_batches(F.col("__v"), F.col("embedding")), 6)).where(F.col("similarity") >= least).drop("__v", "embedding")
+    order = W.Window.partitionBy("query_id", id_).orderBy(F.desc("similarity"), "index")
+    best = scored.withColumn("place", F.row_number().over(order)).where(F.col("place") <= top)
+    joined = best.groupBy("query_id", id_).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("index", "sentence"))), lambda x: x["sentence"]), " ").alias("text"))
+    short = compressed(joined.select(F.struct("query_id", id_).alias("key"), "text"), 0, "text", "key")
+    return short.select("key.query_id", f"key.{id_}", *[c for c in short.columns if c != "key"])

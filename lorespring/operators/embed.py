@@ -19,13 +19,14 @@ _TOKEN = regex.compile(r"[\p{Alphabetic}\p{N}_]+")
 
 
 def hashed(texts: list[str | None], dim: int) -> np.ndarray:
-    """Signed counts of hashed tokens, one row a text."""
-    out = np.zeros((len(texts), dim), np.float32)
-    for row, t in zip(out, texts):
-        for token in _TOKEN.findall((t or "").lower()):
-            h = zlib.crc32(token.encode())
-            row[h % dim] += 1 if h // dim % 2 == 0 else -1
-    return out
+    """Signed counts of hashed tokens, one row a text. Each different token of the texts is hashed once."""
+    tokens = [_TOKEN.findall((t or "").lower()) for t in texts]
+    number: dict[str, int] = {}
+    at = np.array([number.setdefault(t, len(number)) for row in tokens for t in row], np.int64)
+    h = np.array([zlib.crc32(t.encode()) for t in number], np.int64)
+    row = np.repeat(np.arange(len(texts)), [len(r) for r in tokens])
+    sign = np.where(h // dim % 2 == 0, 1, -1)
+    return np.bincount(row * dim + (h % dim)[at], sign[at], len(texts) * dim).reshape(len(texts), dim).astype(np.float32) if len(at) else np.zeros((len(texts), dim), np.float32)
 
 
 def hashing(dim: int = 64) -> Embedder:

@@ -25,9 +25,18 @@ def fused(vector: DataFrame, keyword: DataFrame, top: int, k: int = 60, vector_w
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
 
 
-def search(docs: DataFrame, vectors: DataFrame, queries: DataFrame, top: int, k: int = 60, vector_weight: float = 0.5, bm25_weight: float = 0.5) -> DataFrame:
-    """fused() with content. docs: doc_id, text; vectors: doc_id, embedding; queries: query_id, query, embedding (null: no vector leg). Twice `top` candidates come from each leg; hits whose document is missing are dropped after the cut."""
-    vector = knn.top_k(queries, vectors, 2 * top, id_="doc_id")
-    keyword = bm25.search(docs, queries, 2 * top)
+def content_of(hits: DataFrame, docs: DataFrame, chunks: DataFrame | None = None) -> DataFrame:
+    """hits with the content of their document (doc_id, content) or, where there is none, of the chunk of that id (chunk_id, content); those that have neither are dropped."""
+    found = hits.join(docs.select("doc_id", F.col("content").alias("__doc")), "doc_id", "left")
+    if chunks is not None:
+        found = found.join(chunks.select(F.col("chunk_id").alias("doc_id"), F.col("content").alias("__chunk")), "doc_id", "left")
+    content = F.coalesce("__doc", "__chunk") if chunks is not None else F.col("__doc")
+    return found.withColumn("content", content).where("content IS NOT NULL").drop("__doc", "__chunk")
+
+
+def search(docs: DataFrame, vectors: DataFrame, queries: DataFrame, top: int, k: int = 60, vector_weight: float = 0.5, bm25_weight: float = 0.5, words: bm25.Index | None = None, index: knn.IvfIndex | None = None) -> DataFrame:
+    """fused() with content. words, index: of docs and vectors, searched where they are given and loaded, in place of all documents and vectors. docs: doc_id, text; vectors: doc_id, embedding; queries: query_id, query, embedding (null: no vector leg). Twice `top` candidates come from each leg; hits whose document is missing are dropped after the cut."""
+    vector = index.search(queries, 2 * top, id_="doc_id") if index and index.loaded() else knn.top_k(queries, vectors, 2 * top, id_="doc_id")
+    keyword = words.search(queries, 2 * top) if words else bm25.search(docs, queries, 2 * top)
     hits = fused(vector, keyword, top, k, vector_weight, bm25_weight)
-    return hits.join(docs.select("doc_id", F.col("text").alias("content")), "doc_id").select("query_id", "doc_id", "content", "score", "vector_rank", "bm25_rank", "rank")
+    return content_of(hits, docs.select("doc_id", F.col("text").alias("content"))).select("query_id", "doc_id", "content", "score", "vector_rank", "bm25_rank", "rank")

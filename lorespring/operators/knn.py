@@ -1,4 +1,4 @@
-"""Exact nearest neighbours by cosine similarity, and an inverted-file index.
+"""Exact nearest neighbours by cosine similarity, and an inverted-file index that is kept as tables.
 
 Vectors and queries are packed into blocks of bounded size; a pair of blocks is one
 matrix product in numpy, which keeps the k best of the block for each query, and a
@@ -8,12 +8,13 @@ the query blocks if they are few.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
@@ -74,6 +75,12 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int, query_id: str = "query
     """(query_id, id, similarity, rank): the k vectors most similar to each query, ties by id. Only vectors of the query's length are compared; a zero vector has similarity 0; NaN is left out."""
     pairs = _packed(vectors, id_, vector, BLOCK, "v_").crossJoin(_packed(queries, query_id, query_vector, QUERY_BLOCK, "q_")).where("v_dim = q_dim")
 
+    return _best(pairs, k, query_id, id_, least)
+
+
+def _best(pairs: DataFrame, k: int, query_id: str, id_: str, least: float | None = None) -> DataFrame:
+    """The k best of pairs of blocks (v_ids, v_dim, v_data, q_ids, q_dim, q_data)."""
+
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
@@ -94,56 +101,132 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int, query_id: str = "query
                     out.append((np.full(len(use), qid[i]), vid[use], s[use]))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[j] for o in out])) for j in range(3)], names=[query_id, id_, "similarity"])
 
-    best = pairs.mapInArrow(search, f"{query_id} long, {id_} long, similarity double")
+    best = pairs.select("v_ids", "v_dim", "v_data", "q_ids", "q_dim", "q_data").mapInArrow(search, f"{query_id} long, {id_} long, similarity double")
     order = W.Window.partitionBy(query_id).orderBy(F.desc("similarity"), id_)
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def _unit(data: np.ndarray) -> np.ndarray:
+    return data / np.maximum(np.linalg.norm(data, axis=1, keepdims=True), 1e-12)
+
+
+def _centroids(data: np.ndarray, cells: int, rounds: int, seed: int) -> np.ndarray:
+    """Spherical k-means."""
+    rng = np.random.Generator(np.random.PCG64(seed))
+    out = data[rng.choice(len(data), min(cells, len(data)), replace=False)]
+    for _ in range(rounds):
+        near = (data @ out.T).argmax(1)
+        order = np.argsort(near, kind="stable")
+        found, at = np.unique(near[order], return_index=True)
+        out[found] = np.add.reduceat(data[order], at, axis=0)
+        out = _unit(out)
+    return out
+
+
+def _probes(data: np.ndarray, centroids: np.ndarray, k: int, recall: float) -> int:
+    """How many of the nearest cells hold `recall` of the k nearest of some of the vectors, by brute force among them."""
+    asked = data[: min(len(data), 256)]
+    nearest = np.argsort(-(asked @ data.T), axis=1, kind="stable")[:, :k]
+    place = np.argsort(np.argsort(-(asked @ centroids.T), axis=1, kind="stable"), axis=1)
+    at = np.take_along_axis(place, (data @ centroids.T).argmax(1)[nearest], axis=1)
+    return int(np.quantile(at, recall, method="higher")) + 1
+
+
 class IvfIndex:
-    """Vectors by the nearest of some centroids. Centroids are fitted on a bounded sample (FIT_ROWS); every vector is in the index."""
-
-    FIT_ROWS = 20_000
-
-    def __init__(self, vectors: DataFrame, cells: int = 16, id_: str = "vec_id", vector: str = "embedding", rounds: int = 8, seed: int = 3):
-        self.id, self.vector = id_, vector
-        usable = vectors.where(F.col(vector).isNotNull() & (F.size(vector) > 0))
-        n = usable.count()
-        part = min(1.0, self.FIT_ROWS / max(n, 1))
-        sample = usable.where(F.pmod(F.xxhash64(id_, F.lit(seed)), F.lit(1 << 20)) < int(part * (1 << 20))).orderBy(id_).select(vector).toArrow()
-        data = np.array(sample.column(0).to_pylist(), np.float64).reshape(sample.num_rows, -1)
-        data = data / np.maximum(np.linalg.norm(data, axis=1, keepdims=True), 1e-12)
-        rng = np.random.Generator(np.random.PCG64(seed))
-        centroids = data[rng.choice(len(data), min(cells, len(data)), replace=False)]
-        for _ in range(rounds):  # spherical k-means
-            near = (data @ centroids.T).argmax(1)
-            for c in range(len(centroids)):
-                if (near == c).any():
-                    centroids[c] = data[near == c].mean(0)
-            centroids /= np.maximum(np.linalg.norm(centroids, axis=1, keepdims=True), 1e-12)
-        self.centroids = centroids
-        self.table = self._cells(usable, 1).withColumnRenamed(id_, "__id").withColumnRenamed(vector, "__vector")
-
-    def _cells(self, rows: DataFrame, probes: int, id_: str | None = None, vector: str | None = None) -> DataFrame:
-        centroids = self.centroids
-        id_, vector = id_ or self.id, vector or self.vector
-
-        def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Vectors by the nearest of some centroids, as tables in a folder that all executors share, written once and searched often.
+
+    Of each length of vectors, centroids (about the square root of how many there are, MOST_CELLS at most) are fitted on a bounded sample (FIT_ROWS); every vector is in the
+    index, in blocks of its cell, so a cell that a third of all vectors are in is many blocks. How many cells a search looks at is measured on the sample when the index is
+    built: so many that RECALL of the nearest are in them. Rows with a null id or vector, or an empty one, are left out; an empty table makes an index that finds nothing.
+    """
+
+    FIT_ROWS, MOST_CELLS, RECALL = 20_000, 4096, 0.97
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def _folder(self):
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        return at, at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def loaded(self) -> bool:
+        """Whether an index was built there."""
+        _, fs = self._folder()
+        return fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/blocks/_SUCCESS"))
+
+    def clear(self) -> None:
+        at, fs = self._folder()
+        fs.delete(at, True)
+
+    def build(self, vectors: DataFrame, id_: str = "vec_id", vector: str = "embedding", cells: int | None = None, rounds: int = 8, seed: int = 3, k: int = 10) -> IvfIndex:
+        """Replace what is there by an index of vectors. k: for how many neighbours the number of cells to look at is measured."""
+        self.clear()
+        usable = vectors.select(F.col(id_).cast("long").alias("id"), F.col(vector).alias("vector")).where(F.col("id").isNotNull() & (F.size("vector") > 0))
+        counts = {r["dim"]: r["n"] for r in usable.groupBy(F.size("vector").alias("dim")).agg(F.count("*").alias("n")).collect()}  # one row a length
+        rows = []
+        for dim, n in sorted(counts.items()):
+            part = int(min(1.0, self.FIT_ROWS / n) * (1 << 20))
+            sample = usable.where((F.size("vector") == dim) & (F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 20)) < part)).select("id", "vector").toArrow().sort_by("id")
+            found = [data for b in sample.to_batches() for _, _, data in _by_length(b)]
+            if found:
+                data = _unit(np.concatenate(found))
+                centroids = _centroids(data, cells or min(self.MOST_CELLS, math.isqrt(n) + 1), rounds, seed)
+                probes = _probes(data, centroids, k, self.RECALL)
+                rows += [(dim, c, probes, centroid.tolist()) for c, centroid in enumerate(centroids)]
+        self.spark.createDataFrame(rows, "dim int, cell int, probes int, centroid array<double>").coalesce(1).write.parquet(f"{self.path}/centroids")
+        blocks = self._blocks(usable, None, BLOCK, "v_")
+        blocks.write.parquet(f"{self.path}/blocks")
+        return self
+
+    def __len__(self) -> int:
+        """How many vectors there are."""
+        return int(self.spark.read.parquet(f"{self.path}/blocks").agg(F.sum(F.octet_length("v_ids") / 8)).first()[0] or 0)
+
+    def _blocks(self, rows: DataFrame, probes: int | None, block: int, prefix: str) -> DataFrame:
+        """Rows (id, vector) packed by length and cell. probes: put each into so many of its nearest cells (0: as many as was measured); None: into its nearest."""
+        known: dict[int, tuple[int, np.ndarray]] = {}
+        for r in self.spark.read.parquet(f"{self.path}/centroids").orderBy("dim", "cell").collect():  # MOST_CELLS rows a length, at most
+            known.setdefault(r["dim"], (r["probes"], []))[1].append(r["centroid"])
+        known = {dim: (n, np.array(c)) for dim, (n, c) in known.items()}
+        shared = self.spark.sparkContext.broadcast(known)
+        names = [f"{prefix}{x}" for x in ("dim", "cell", "ids", "data")]
+
+        def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: dict[tuple[int, int], list] = {}
+            size = 0
+
+            def out() -> Iterator[pa.RecordBatch]:
+                for (dim, cell), parts in held.items():
+                    ids, data = (np.concatenate(x) for x in zip(*parts))
+                    for k in range(0, len(ids), block):
+                        yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([cell], pa.int32()), pa.array([ids[k : k + block].astype(np.int64).tobytes()], pa.binary()), pa.array([data[k : k + block].tobytes()], pa.binary())], names=names)
+                held.clear()
+
             for batch in batches:
                 for dim, ids, data in _by_length(batch):
-                    if dim != centroids.shape[1]:
+                    if dim not in shared.value:
                         continue
-                    near = np.argsort(-(data @ centroids.T), axis=1, kind="stable")[:, :probes]
-                    times = near.shape[1]
-                    vectors_ = pa.ListArray.from_arrays(np.arange(0, len(ids) * times * dim + 1, dim, dtype=np.int32), pa.array(np.repeat(data, times, axis=0).astype(np.float32).reshape(-1)))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, times)), vectors_, pa.array(near.reshape(-1).astype(np.int32))], names=[id_, vector, "cell"])
-
-        return rows.select(F.col(id_).cast("long").alias(id_), vector).mapInArrow(assign, f"{id_} long, {vector} array<float>, cell int")
-
-    def search(self, queries: DataFrame, k: int, probes: int = 6, query_id: str = "query_id", query_vector: str = "embedding") -> DataFrame:
-        """Approximate top_k() among vectors of the centroids' length: only the `probes` nearest cells of a query are compared, by a join on the cell."""
-        asked = self._cells(queries, probes, query_id, query_vector).withColumnRenamed(query_vector, "__query")
-        from ..functions.vectors import cosine
-
-        hits = asked.join(self.table, "cell").select(query_id, F.col("__id").alias(self.id), F.round(cosine(F.col("__query"), F.col("__vector")), 6).alias("similarity"))
-        order = W.Window.partitionBy(query_id).orderBy(F.desc("similarity"), self.id)
-        return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+                    measured, centroids = shared.value[dim]
+                    n = 1 if probes is None else min(probes or measured, len(centroids))
+                    like = data @ centroids.T
+                    near = np.argpartition(-like, n - 1, axis=1)[:, :n] if n < len(centroids) else np.broadcast_to(np.arange(n), like.shape)
+                    cell, row = near.reshape(-1), np.repeat(np.arange(len(ids)), n)
+                    order = np.argsort(cell, kind="stable")
+                    cuts = np.flatnonzero(np.diff(cell[order], prepend=-1))
+                    for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(order)]):
+                        some = row[order[a:b]]
+                        held.setdefault((dim, int(cell[order[a]])), []).append((ids[some], data[some]))
+                    size += data.nbytes * n
+                    if size >= 64 << 20:
+                        yield from out()
+                        size = 0
+            yield from out()
+
+        return rows.mapInArrow(pack, f"{prefix}dim int, {prefix}cell int, {prefix}ids binary, {prefix}data binary")
+
+    def search(self, queries: DataFrame, k: int, probes: int = 0, query_id: str = "query_id", query_vector: str = "embedding", id_: str = "vec_id") -> DataFrame:
+        """Approximate top_k() among vectors of a query's length: the blocks of its `probes` nearest cells (0: as many as was measured), by a join on the cell and a matrix product a pair of blocks."""
+        asked = self._blocks(queries.select(F.col(query_id).cast("long"), F.col(query_vector)), probes, QUERY_BLOCK, "q_")
+        stored = self.spark.read.parquet(f"{self.path}/blocks")
+        pairs = asked.join(stored, (F.col("q_dim") == F.col("v_dim")) & (F.col("q_cell") == F.col("v_cell")))
+        return _best(pairs, k, query_id, id_)

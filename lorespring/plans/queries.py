@@ -125,12 +125,23 @@ def _(embeddings):
     return embeddings.join(other, embeddings["vec_id"] == other["a"]).select("a", "b", F.round(vx.cosine(F.col("embedding"), F.col("other")), 6).alias("similarity"))
 
 
-@_register("cosine_edge_cases", """
-SELECT * FROM (VALUES ('zero', 0.0::DOUBLE, 1.0::DOUBLE), ('empty', 0.0, 1.0), ('lengths', 0.0, 1.0), ('same', 1.0, 0.0), ('opposite', -1.0, 2.0), ('right angle', 0.0, 1.0)) AS t(name, similarity, distance)""")
-def _(spark):
-    rows = [("zero", [0.0, 0.0], [1.0, 2.0]), ("empty", [], []), ("lengths", [1.0, 2.0], [1.0, 2.0, 3.0]), ("same", [1.0, 2.0], [1.0, 2.0]), ("opposite", [1.0, 2.0], [-1.0, -2.0]), ("right angle", [1.0, 0.0], [0.0, 1.0])]
-    df = spark.createDataFrame(rows, "name string, a array<float>, b array<float>")
-    return df.select("name", F.round(vx.cosine(F.col("a"), F.col("b")), 6).alias("similarity"), F.round(vx.cosine_distance(F.col("a"), F.col("b")), 6).alias("distance"))
+_DOUBLES = "list_transform(embedding, lambda x: CAST(x AS DOUBLE))"
+
+
+@_register("cosine_edge_cases", f"""
+WITH v AS (SELECT vec_id, {_DOUBLES} AS a FROM embeddings),
+p AS (SELECT vec_id, 'zero' AS name, a, list_transform(a, lambda x: 0.0::DOUBLE) AS b FROM v UNION ALL SELECT vec_id, 'same', a, a FROM v UNION ALL SELECT vec_id, 'opposite', a, list_transform(a, lambda x: -x) FROM v
+ UNION ALL SELECT vec_id, 'lengths', a, a[1:3] FROM v UNION ALL SELECT vec_id, 'empty', a[1:0], a[1:0] FROM v UNION ALL SELECT vec_id, 'reversed', a, list_reverse(a) FROM v),
+s AS (SELECT vec_id, name, CASE WHEN len(a) <> len(b) OR len(a) = 0 THEN 0.0 WHEN list_sum(list_transform(b, lambda x: x * x)) = 0 OR list_sum(list_transform(a, lambda x: x * x)) = 0 THEN 0.0 ELSE round(list_inner_product(a, b) / sqrt(list_inner_product(a, a) * list_inner_product(b, b)), 6) END AS similarity FROM p)
+SELECT vec_id, name, similarity, round(1 - similarity, 6) AS distance FROM s""")
+def _(embeddings):
+    a = F.col("embedding")
+    other = {"zero": F.transform(a, lambda x: x * 0), "same": a, "opposite": F.transform(a, lambda x: -x), "lengths": F.slice(a, 1, 3), "reversed": F.reverse(a)}
+    pairs = [F.struct(F.lit(n).alias("name"), a.alias("a"), b.cast("array<float>").alias("b")) for n, b in other.items()]
+    none = F.array().cast("array<float>")
+    rows = embeddings.select("vec_id", F.explode(F.array(*pairs, F.struct(F.lit("empty").alias("name"), none.alias("a"), none.alias("b")))).alias("p")).select("vec_id", "p.*")
+    similarity = F.round(vx.cosine(F.col("a"), F.col("b")), 6)
+    return rows.select("vec_id", "name", similarity.alias("similarity"), F.round(vx.cosine_distance(F.col("a"), F.col("b")), 6).alias("distance"))
 
 
 @_register("vector_norms", "SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))), 6) AS norm FROM embeddings")
@@ -148,9 +159,9 @@ def _asked(embeddings: DataFrame) -> DataFrame:
     return embeddings.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
 
 
-@_register("knn_exact_topk", _KNN.format(where="q.vec_id = 0", least="", k=10))
+@_register("knn_exact_topk", _KNN.format(where="q.vec_id % 50 = 0", least="", k=3))
 def _(embeddings):
-    return knn.top_k(_asked(embeddings).where("query_id = 0"), embeddings, 10)
+    return knn.top_k(_asked(embeddings), embeddings, 3)
 
 
 @_register("knn_batch_topk", _KNN.format(where="q.vec_id % 50 = 0", least="", k=10))
@@ -163,9 +174,34 @@ def _(embeddings):
     return knn.top_k(_asked(embeddings), embeddings, 15, least=0.2)
 
 
+_indexes: dict[tuple, object] = {}
+
+
+def _once(kind: type, table: DataFrame, build: Callable):
+    """The index over a table: built when it is first asked for, then kept as tables in the shared folder for as long as the application runs and the table's files are the same."""
+    key = (kind, table.sparkSession.sparkContext.applicationId, tuple(sorted(table.inputFiles())))
+    if key not in _indexes:
+        _indexes[key] = build(kind(table.sparkSession, scratch.new_folder(table.sparkSession, kind.__name__)))
+    return _indexes[key]
+
+
+def _near(embeddings: DataFrame) -> knn.IvfIndex:
+    return _once(knn.IvfIndex, embeddings, lambda i: i.build(embeddings))
+
+
+def _words(documents: DataFrame) -> bm25.Index:
+    return _once(bm25.Index, documents, lambda i: i.build(documents))
+
+
 @_register("knn_ivf", None)
 def _(embeddings):
-    return knn.IvfIndex(embeddings).search(_asked(embeddings), 10)
+    return _near(embeddings).search(_asked(embeddings), 10)
+
+
+@_register("knn_ivf_all_cells", _KNN.format(where="q.vec_id % 50 = 0", least="", k=10))
+def _(embeddings):
+    """The index, asked to look at every cell: the exact result."""
+    return _near(embeddings).search(_asked(embeddings), 10, probes=knn.IvfIndex.MOST_CELLS)
 
 
 # keyword search
@@ -203,9 +239,16 @@ def _(documents):
     return bm25.stats(documents).withColumn("avgdl", F.round("avgdl", 6))
 
 
-@_register("bm25_search", _fill(_BM25, where="", q="= 0") + " SELECT * FROM bm WHERE rank <= 10")
+@_register("bm25_search", _fill(_BM25, where="", q="% 50 = 0") + " SELECT * FROM bm WHERE rank <= 3")
 def _(documents, benchmark):
-    return bm25.search(documents, _questions(benchmark).where("query_id = 0"), 10)
+    return _words(documents).search(_questions(benchmark), 3)
+
+
+@_register("bm25_index_add", _fill(_BM25, where=_TOXIC, q="% 50 = 0") + " SELECT * FROM bm WHERE rank <= 10")
+def _(spark, documents, benchmark, labels):
+    """An index of the documents with odd ids, to which all are added and from which some are removed."""
+    index = bm25.Index(spark, scratch.new_folder(spark, "words")).build(documents.where("doc_id % 2 = 1"))
+    return index.add(documents).remove(labels.where("toxic = 1").distinct()).search(_questions(benchmark), 10)
 
 
 @_register("bm25_batch", _fill(_BM25, where="", q="% 50 = 0") + " SELECT * FROM bm WHERE rank <= 10")
@@ -244,7 +287,7 @@ def _both(benchmark: DataFrame, embeddings: DataFrame) -> DataFrame:
 
 
 def _hybrid(documents, embeddings, benchmark, vw=0.5, bw=0.5) -> DataFrame:
-    return hybrid.search(documents, _vectors(embeddings), _both(benchmark, embeddings), 10, vector_weight=vw, bm25_weight=bw)
+    return hybrid.search(documents, _vectors(embeddings), _both(benchmark, embeddings), 10, vector_weight=vw, bm25_weight=bw, words=_words(documents))
 
 
 @_register("rrf_hybrid", _legs(0.5, 0.5) + " SELECT * FROM hits")
@@ -356,12 +399,12 @@ _HYBRID_CONTEXT = _legs(0.5, 0.5).replace("hits AS (SELECT", "found AS (SELECT")
 
 @_register("hybrid_with_context", _HYBRID_CONTEXT + " SELECT query_id, text, tokens, n_chunks, 2000 - tokens AS remaining_budget FROM texts")
 def _(documents, embeddings, benchmark):
-    return service.hybrid_context(documents, _vectors(embeddings), _both(benchmark, embeddings))
+    return service.hybrid_context(documents, _vectors(embeddings), _both(benchmark, embeddings), words=_words(documents))
 
 
 @_register("hybrid_prompt", _HYBRID_CONTEXT + f", q AS (SELECT item_id AS query_id, text AS query FROM benchmark WHERE item_id % 50 = 0) SELECT query_id, CASE WHEN texts.text IS NULL THEN query ELSE {_PROMPT.replace('text ||', 'texts.text ||')} END AS prompt FROM q LEFT JOIN texts USING (query_id)")
 def hybrid_prompt(documents, embeddings, benchmark):
-    return service.prompts(_questions(benchmark), service.hybrid_context(documents, _vectors(embeddings), _both(benchmark, embeddings)))
+    return service.prompts(_questions(benchmark), service.hybrid_context(documents, _vectors(embeddings), _both(benchmark, embeddings), words=_words(documents)))
 
 
 @_register("mock_answer", _HITS + """, l AS (SELECT query_id, rank, rank || '. ' || CASE WHEN length(content) > 100 THEN substr(content, 1, 100) || '...' ELSE content END AS line FROM hits WHERE rank <= 3)
@@ -426,13 +469,6 @@ def _(documents):
     return documents.select(F.explode(tx.sentences(F.col("text"))).alias("sentence")).distinct().select("sentence", tx.sentence_hash(F.col("sentence")).alias("hash"))
 
 
-@_register("sentence_dedup", f"WITH s AS (SELECT doc_id, {_fill(_SENTENCES, c='text')} AS ss FROM documents) SELECT doc_id, CAST(len(ss) AS BIGINT) AS n_sentences, CAST(list_unique(list_transform(ss, lambda x: {_NORMAL})) AS BIGINT) AS n_kept FROM s")
-def _(documents):
-    out = compress.compressed(documents)
-    n = documents.select("doc_id", _long(F.size(tx.sentences(F.col("text")))).alias("n_sentences"), _long(F.size(F.array_distinct(F.transform(tx.sentences(F.col("text")), tx.normal_sentence)))).alias("n_kept"))
-    return n
-
-
 @_register("duplicate_report", f"""WITH s AS (SELECT doc_id, unnest({_fill(_SENTENCES, c='text')}) AS s FROM documents), c AS (SELECT doc_id, s, count(*) AS times FROM s GROUP BY ALL HAVING count(*) > 1)
 SELECT doc_id, CAST(place AS INT) AS place, substr(s, 1, 60) AS sentence, times FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY times DESC, s) AS place FROM c) WHERE place <= 3""")
 def _(documents):
@@ -451,6 +487,11 @@ def _(documents):
     return compress.compressed(documents)
 
 
+@_register("sentence_dedup", f"""SELECT doc_id, sha256(text) AS text_sha256, sentences_removed FROM (WITH {_fill(_COMPRESSED, id='doc_id', as_='doc_id', c='text', t='documents', max=0)})""")
+def _(documents):
+    return compress.compressed(documents).select("doc_id", F.sha2("text", 256).alias("text_sha256"), "sentences_removed")
+
+
 @_register("compress_text_8000", "WITH " + _fill(_COMPRESSED, id="doc_id", as_="doc_id", c="text", t="documents", max=8000))
 def _(documents):
     return compress.compressed(documents, 8000)
@@ -470,21 +511,28 @@ def _(documents):
 
 @_register("compress_with_similarity", None)
 def _(documents, benchmark):
-    """Of every document, the 15 sentences nearest to the question of the benchmark's first item, in their order."""
+    """Of every document, the 15 sentences nearest to each question, in their order."""
     hashed = embed.hashing(64)
-    question = benchmark.where("item_id = 0").select(hashed(F.col("text")).alias("embedding"))
-    asked = documents.select(F.col("doc_id").alias("query_id")).crossJoin(F.broadcast(question))
-    return compress.compressed_by_similarity(documents.select(F.col("doc_id").alias("query_id"), "text"), asked, hashed)
+    return compress.compressed_for_queries(documents, _questions(benchmark).select("query_id", hashed(F.col("query")).alias("embedding")), hashed)
+
+
+@_register("build_with_compression", _HITS + _PACKED + f", joined AS (SELECT query_id, string_agg(content, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS t FROM packed GROUP BY query_id), {_fill(_COMPRESSED, id='query_id', as_='query_id', c='t', t='joined', max=3000)}".replace("SELECT id AS query_id, final AS text,", "SELECT id AS query_id, final AS text, CAST(ceil(length(final) / 4) AS BIGINT) AS tokens, round((1 - CASE WHEN n = 0 THEN 1.0 ELSE round(length(final) / n, 6) END) * 100, 4) AS saved_percent,").replace(", CAST(length(joined) - length(final) AS BIGINT) AS chars_saved_truncation", ""))
+def _(embeddings, documents):
+    return service.built_with_compression(_hits(embeddings, documents), 2000, 3000)
 
 
 # chunks
 
 
-@_register("chunk_article", """SELECT * FROM (VALUES ('제1조', false), ('제1조 목적', true), ('  제 12 조 정의', true), ('제목 조', false), ('제1', false), ('Article 1', false), ('', false)) AS t(line, is_title)
-WHERE line <> '제1조' UNION ALL SELECT '제1조', true""")
-def _(spark):
-    rows = [(x,) for x in ("제1조", "제1조 목적", "  제 12 조 정의", "제목 조", "제1", "Article 1", "")]
-    return spark.createDataFrame(rows, "line string").select("line", tx.article_title(F.col("line")).alias("is_title"))
+_TITLES = ("제1조", "제1조 목적", "  제 12 조 정의", "제목 조", "제1", "Article 1", "", "제 3", "제9x", "제  4조", "x제1조", "제٣조")
+
+
+@_register("chunk_article", r"WITH t AS (SELECT unnest([" + ", ".join(f"'{t}'" for t in _TITLES) + rf"]) AS line UNION ALL SELECT '제' || doc_id || '조 ' || source FROM documents UNION ALL SELECT string_split(coalesce(text, ''), chr(10))[1] FROM documents) SELECT line AS line, list_transform([line], lambda x: regexp_matches({_TRIM}, '(?s)^제(\p{{N}}.| \p{{N}})'))[1] AS is_title FROM t")
+def _(spark, documents):
+    lines = spark.createDataFrame([(x,) for x in _TITLES], "line string")
+    made = documents.select(F.concat(F.lit("제"), F.col("doc_id").cast("string"), F.lit("조 "), F.col("source")).alias("line"))
+    first = documents.select(F.get(F.split(F.coalesce("text", F.lit("")), "\n", -1), F.lit(0)).alias("line"))
+    return lines.union(made).union(first).select("line", tx.article_title(F.col("line")).alias("is_title"))
 
 
 @_register("chunk_paragraph", None)
@@ -564,7 +612,25 @@ def _(documents):
     return documents.select("doc_id", _long(F.size(parts)).alias("n"), F.array_join(parts, "|").alias("parts"))
 
 
-@_register("response_unwrap", """SELECT conv_id, turn, text FROM conversations""")
+@_register("response_unwrap", r"""WITH w AS (SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN 'TextResponse("' || text || '")' WHEN 1 THEN 'TextResponse("' || text WHEN 2 THEN 'Said: TextResponse("' || text || chr(10) || '")' ELSE text END AS t FROM conversations)
+SELECT conv_id, turn, CASE WHEN contains(t, 'TextResponse("') AND ends_with(t, '")') THEN substr(t, strpos(t, 'TextResponse("') + 14, length(t) - strpos(t, 'TextResponse("') - 15) ELSE t END AS text FROM w""")
 def _(conversations):
-    wrapped = F.concat(F.lit('TextResponse("'), F.col("text"), F.lit('")'))
-    return conversations.select("conv_id", "turn", tx.unwrapped_response(wrapped).alias("text"))
+    """Wrapped whole, wrapped without an end, after other words and over two lines, and not wrapped."""
+    start, text, kind = F.lit('TextResponse("'), F.col("text"), F.col("turn") % 4
+    said = F.when(kind == 0, F.concat(start, text, F.lit('")'))).when(kind == 1, F.concat(start, text)).when(kind == 2, F.concat(F.lit("Said: "), start, text, F.lit('\n")'))).otherwise(text)
+    return conversations.select("conv_id", "turn", tx.unwrapped_response(said).alias("text"))
+
+
+try:
+    import public_tokenizers
+except ImportError:  # the vocabulary files aren't there
+    public_tokenizers = None
+
+if public_tokenizers:
+
+    @_register("tokenize_round_trip", "SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256 FROM documents")
+    def _(documents):
+        """Texts to ids and back: a byte-level vocabulary gives every text again."""
+        path = public_tokenizers.path("byte_bpe_50k.json")
+        ids = embed.tokenize(path, 1 << 24)(F.col("text"))
+        return documents.select("doc_id", F.sha2(embed.decode(path, 1 << 24)(ids), 256).alias("text_sha256"))

@@ -7,10 +7,11 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import context, hybrid, knn
+from ..operators import bm25, context, hybrid, knn
 from ..operators.chunk import chunked
 from ..operators.compress import compressed
 from ..operators.embed import Embedder
+from ..functions.text import estimated_tokens, utf16_length
 
 
 @dataclass(frozen=True)
@@ -34,15 +35,15 @@ def ingested(docs: DataFrame, max_chars: int, embed: Embedder, id_: str = "doc_i
     return chunked(once, max_chars, id_, text).withColumn("embedding", embed(F.col("content")))
 
 
-def vector_hits(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Hits of queries (query_id, embedding) among chunks (chunk_id, source_id, chunk_index, content, embedding)."""
-    hits = knn.top_k(queries, chunks, k, id_="chunk_id")
+def vector_hits(chunks: DataFrame, queries: DataFrame, k: int, index: knn.IvfIndex | None = None) -> DataFrame:
+    """Hits of queries (query_id, embedding) among chunks (chunk_id, source_id, chunk_index, content, embedding): by the index of these, if one is given and loaded, else exact."""
+    hits = index.search(queries, k, id_="chunk_id") if index and index.loaded() else knn.top_k(queries, chunks, k, id_="chunk_id")
     return hits.join(chunks.select("chunk_id", "source_id", "chunk_index", "content"), "chunk_id")
 
 
-def search(chunks: DataFrame, queries: DataFrame, preset: Preset = Preset()) -> tuple[DataFrame, DataFrame]:
+def search(chunks: DataFrame, queries: DataFrame, preset: Preset = Preset(), index: knn.IvfIndex | None = None) -> tuple[DataFrame, DataFrame]:
     """(hits, contexts): nearest chunks, narrowed to the best source, then expanded, ordered, packed and rendered."""
-    hits = vector_hits(chunks, queries, preset.top_k)
+    hits = vector_hits(chunks, queries, preset.top_k, index)
     if preset.single_source:
         hits = context.best_source_by_text(hits, queries)
     if preset.adjacent:
@@ -54,9 +55,19 @@ def search(chunks: DataFrame, queries: DataFrame, preset: Preset = Preset()) ->
     return hits, contexts
 
 
-def hybrid_context(docs: DataFrame, vectors: DataFrame, queries: DataFrame, top_k: int = 10, budget: int = 2000, strategy: str = "relevance", vector_weight: float = 0.5, bm25_weight: float = 0.5) -> DataFrame:
+def built_with_compression(hits: DataFrame, budget: int = 2000, max_chars: int = 0, strategy: str = "relevance") -> DataFrame:
+    """(query_id, text, tokens, original_chars, compressed_chars, ratio, saved_percent, sentences_removed): the hits within the budget joined by their separator, without repeated sentences, cut to max_chars (0: not cut)."""
+    rows = {"relevance": lambda x: x, "diverse": context.diverse, "chronological": context.chronological}[strategy](hits)
+    kept = context.packed(rows, budget)
+    parts = F.transform(F.sort_array(F.collect_list(F.struct("rank", "content"))), lambda x: x["content"])
+    joined = kept.groupBy("query_id").agg(F.array_join(parts, context.SEPARATOR).alias("text"))
+    short = compressed(joined, max_chars, id_="query_id")
+    return short.select("query_id", "text", estimated_tokens(utf16_length(F.col("text"))).alias("tokens"), "original_chars", "compressed_chars", "ratio", F.round((1 - F.col("ratio")) * 100, 4).alias("saved_percent"), "sentences_removed")
+
+
+def hybrid_context(docs: DataFrame, vectors: DataFrame, queries: DataFrame, top_k: int = 10, budget: int = 2000, strategy: str = "relevance", vector_weight: float = 0.5, bm25_weight: float = 0.5, words: bm25.Index | None = None, index: knn.IvfIndex | None = None) -> DataFrame:
     """Contexts of fused hits: each document is a source with one chunk, its score the similarity."""
-    hits = hybrid.search(docs, vectors, queries, top_k, vector_weight=vector_weight, bm25_weight=bm25_weight)
+    hits = hybrid.search(docs, vectors, queries, top_k, vector_weight=vector_weight, bm25_weight=bm25_weight, words=words, index=index)
     as_chunks = hits.select("query_id", F.col("doc_id").alias("source_id"), F.lit(0).alias("chunk_index"), "content", F.col("score").alias("similarity"), "rank")
     return context.context(as_chunks, budget, strategy)
 

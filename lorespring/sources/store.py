@@ -125,6 +125,55 @@ class SourceStore:
         return self.read("sources").agg(F.count("*").alias("source_count")).crossJoin(self.read("chunks").agg(F.count("*").alias("chunk_count")))
 
 
+@dataclass
+class FlatStore:
+    """`docs` (id, content, content_hash, embedding) in a folder that all executors share: documents that are searched whole."""
+
+    spark: SparkSession
+    path: str
+
+    def init(self) -> FlatStore:
+        self.spark.createDataFrame([], schema.DOCS).write.mode("ignore").parquet(f"{self.path}/docs")
+        return self
+
+    def read(self) -> DataFrame:
+        return self.spark.read.schema(schema.DOCS).parquet(f"{self.path}/docs")
+
+    def add_documents(self, incoming: DataFrame) -> DataFrame:
+        """incoming (content, embedding) -> (content_hash, id, is_duplicate) of each different text; new ones are appended. A null or empty embedding stops it before anything is written."""
+        usable = incoming.where(F.col("content").isNotNull())
+        if not usable.where(F.coalesce(F.size("embedding"), F.lit(-1)) <= 0).isEmpty():
+            raise ValueError("a document has no embedding")
+        return self._append(with_hash(usable).dropDuplicates(["content_hash"]), known=True)
+
+    def add_simple(self, incoming: DataFrame) -> None:
+        """Append (content, embedding) as they are, without a hash and without looking for duplicates; migrate() hashes them later."""
+        self._append(incoming.withColumn("content_hash", F.lit(None).cast("string")), known=False)
+
+    def _append(self, rows: DataFrame, known: bool) -> DataFrame:
+        base = self.read().agg(F.max("id")).first()[0] or 0
+        fresh = rows.join(self.read().select("content_hash").where("content_hash IS NOT NULL"), "content_hash", "left_anti") if known else rows
+        numbered = _numbered(fresh, base, *(["content_hash"] if known else ["content"]))
+        numbered.select(*[F.col(f.name).cast(f.dataType) for f in schema.DOCS]).write.mode("append").parquet(f"{self.path}/docs")
+        now = self.read().select("content_hash", "id")
+        return rows.select("content_hash").join(now, "content_hash").select("content_hash", "id", (F.col("id") <= base).alias("is_duplicate"))
+
+    def migrate(self, to: str) -> FlatStore:
+        """The documents in a new folder, all with a hash; of equal texts the smallest id's stays."""
+        rows = with_hash(self.read())
+        first = rows.groupBy("content_hash").agg(F.min("id").alias("id"))
+        rows.join(first, ["content_hash", "id"], "left_semi").select(*[f.name for f in schema.DOCS]).write.mode("overwrite").parquet(f"{to}/docs")
+        return FlatStore(self.spark, to)
+
+    def count(self) -> int:
+        return self.read().count()
+
+    def drop(self) -> None:
+        """Remove the folder."""
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def _numbered(rows: DataFrame, base: int, *order: str) -> DataFrame:
     """rows with ids base + 1, base + 2 ... without gathering them: ranges of the order are numbered by partition, from counts per partition."""
     ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id())

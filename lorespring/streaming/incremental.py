@@ -2,7 +2,9 @@
 
 A stream appends what arrives to the delta, one folder per micro-batch, so a batch that
 is run again overwrites itself. Searches rank both and keep an id's nearest copy, the
-delta's on a tie. From THRESHOLD rows on the delta is due to be merged.
+delta's on a tie. From THRESHOLD rows on, or a RATIO of
+the main table's where that is more, the delta is due to be merged: so each row is rewritten
+about 1 / RATIO times for each doubling of the table, not once a micro-batch.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from pyspark.sql import window as W
 from ..operators import knn
 from ..schema import VECTOR
 
-THRESHOLD = 100
+THRESHOLD, RATIO = 100, 0.1
 ROWS = T.StructType([T.StructField("id", T.LongType()), T.StructField("embedding", VECTOR)])
 
 
@@ -84,7 +86,8 @@ class DeltaIndex:
 
         def take(batch: DataFrame, number: int) -> None:
             self.add(batch, f"batch-{number:09d}")
-            if stats(self.delta()).first()["needs_merge"]:
+            due = max(THRESHOLD, int(RATIO * self.main().count()))
+            if stats(self.delta(), due).first()["needs_merge"]:
                 self.merge()
 
         return stream.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

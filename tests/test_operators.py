@@ -15,6 +15,7 @@ from lorespring.functions import text as tx
 from lorespring.functions import vectors as vx
 from lorespring.operators import bm25, chunk, compress, context, embed, hybrid, knn, quality
 from lorespring.plans import service
+from lorespring.sources import store
 from lorespring.sources.store import SourceStore
 from lorespring.streaming import incremental
 
@@ -68,7 +69,60 @@ def test_bm25(spark, tmp_path):
     assert bm25.stats(docs).first().n == 3
     index = bm25.Index(spark, str(tmp_path / "index")).build(docs)
     assert len(index) == 3
-    assert sorted(map(tuple, index.search(asked, 10).collect())) == sorted(map(tuple, bm25.search(docs, asked, 10).collect()))
+    key = lambda df: sorted(map(tuple, df.collect()))
+    assert key(index.search(asked, 10)) == key(bm25.search(docs, asked, 10))
+    grown = bm25.Index(spark, str(tmp_path / "grown")).build(docs.where("doc_id < 3"))
+    grown.add(docs.withColumn("text", F.when(F.col("doc_id") == 1, F.lit("known already")).otherwise(F.col("text")))).add(docs)
+    assert key(grown.search(asked, 10)) == key(bm25.search(docs, asked, 10))
+    grown.remove(docs.where("doc_id = 2"))
+    assert len(grown) == 2 and key(grown.search(asked, 10)) == key(bm25.search(docs.where("doc_id <> 2"), asked, 10))
+    bm25.Index.FEW, few = 1, bm25.Index.FEW
+    try:
+        assert key(index.search(asked, 10)) == key(bm25.search(docs, asked, 10))
+    finally:
+        bm25.Index.FEW = few
+    index.clear()
+    assert not index.loaded()
+
+
+def test_flat_store(spark, tmp_path):
+    flat = store.FlatStore(spark, f"{tmp_path}/flat").init().init()
+    rows = spark.createDataFrame([("a", [1.0]), ("b", [2.0]), ("a", [3.0]), (None, [1.0])], "content string, embedding array<float>")
+    got = {r.id: r.is_duplicate for r in flat.add_documents(rows).collect()}
+    assert got == {1: False, 2: False} and flat.count() == 2
+    assert [r.is_duplicate for r in flat.add_documents(rows.where("content = 'b'")).collect()] == [True]
+    with pytest.raises(ValueError):
+        flat.add_documents(spark.createDataFrame([("c", [])], "content string, embedding array<float>"))
+    flat.add_simple(rows.where("content = 'b'"))
+    assert flat.count() == 3
+    moved = flat.migrate(f"{tmp_path}/moved")
+    assert moved.count() == 2 and moved.read().where("content_hash IS NULL").count() == 0
+    hits = spark.createDataFrame([(1, 0.5), (77, 0.4), (99, 0.3)], "doc_id long, score double")
+    chunks = spark.createDataFrame([(77, "of a chunk")], "chunk_id long, content string")
+    assert {r.doc_id for r in hybrid.content_of(hits, moved.read().select(F.col("id").alias("doc_id"), "content"), chunks).collect()} == {1, 77}
+    moved.drop()
+
+
+#: Four kinds of things, six sentences each, and what is asked of them: words of a sentence that answers.
+KINDS = {
+    "fruit": ["crisp red apples", "sweet yellow bananas from the tropics", "juicy oranges full of vitamins", "dark grapes that become wine", "huge green melons", "ripe red berries"],
+    "animal": ["loyal dogs kept as a pet", "quiet cats kept as a pet", "long-eared rabbits kept as a pet", "clever wild monkeys", "heavy wild elephants", "cold wild penguins"],
+    "company": ["cars that run on batteries", "phones with a bitten logo", "search engines for the web", "phones that fold", "windows for office desks", "parcels for every shop"],
+    "dish": ["spicy korean cabbage", "italian bread baked with cheese", "japanese rice with raw fish", "american beef in a bun", "italian noodle plates", "asian noodle soup"],
+}
+ASKED = [("fruit", None), ("red fruit", "red"), ("pet animal", "pet"), ("wild animal", "wild"), ("company", None), ("phones company", "phones"), ("italian dish", "italian"), ("noodle dish", "noodle"), ("dish", None), ("yellow fruit", "yellow")]
+
+
+def test_quality_set(spark):
+    """Recall and precision of the three best over a small set whose answers are known."""
+    docs = [(k * 10 + i, f"This {kind} is about {text}", kind, text) for k, (kind, texts) in enumerate(KINDS.items()) for i, text in enumerate(texts)]
+    table = spark.createDataFrame([d[:2] for d in docs], "doc_id long, text string")
+    vectors = table.select("doc_id", embed.hashing(256)(F.col("text")).alias("embedding"))
+    asked = spark.createDataFrame([(n, q) for n, (q, _) in enumerate(ASKED)], "query_id long, query string").withColumn("embedding", embed.hashing(256)(F.col("query")))
+    relevant = [(n, i) for n, (q, word) in enumerate(ASKED) for i, _, kind, text in docs if kind == q.split()[-1] and (word is None or word in text.split())]
+    hits = hybrid.search(table, vectors, asked, 3)
+    whole = quality.summary(quality.judged(hits, spark.createDataFrame(relevant, "query_id long, doc_id long"), 3)).first()
+    assert whole.pass_rate == 1.0 and whole.recall >= 0.93 and whole.precision >= 0.6
 
 
 def test_cosine_in_batches(spark):
@@ -88,15 +142,36 @@ def test_knn_edges(spark):
     assert knn.top_k(asked, vectors.limit(0), 3).count() == 0
 
 
-def test_ivf_recall(spark):
+def test_ivf_recall(spark, tmp_path):
     rng = np.random.default_rng(0)
     centres = rng.normal(size=(12, 16))
     data = centres[rng.integers(0, 12, 1500)] + 0.4 * rng.normal(size=(1500, 16))
     vectors = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(data)], "vec_id long, embedding array<float>")
     asked = vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
     exact = {(r.query_id, r.vec_id) for r in knn.top_k(asked, vectors, 10).collect()}
-    near = {(r.query_id, r.vec_id) for r in knn.IvfIndex(vectors).search(asked, 10).collect()}
+    index = knn.IvfIndex(spark, f"file://{tmp_path}/ivf")
+    assert not index.loaded()
+    near = {(r.query_id, r.vec_id) for r in index.build(vectors).search(asked, 10).collect()}
     assert len(exact & near) / len(exact) >= 0.9
+    again = knn.IvfIndex(spark, f"file://{tmp_path}/ivf")  # what was built is there for others
+    assert again.loaded() and len(again) == 1500
+    assert {(r.query_id, r.vec_id) for r in again.search(asked, 10, probes=100).collect()} == exact
+    again.clear()
+    assert not index.loaded()
+
+
+def test_ivf_edges(spark, tmp_path):
+    kind = "vec_id long, embedding array<float>"
+    asked = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 0.0, 0.0]), (2, None), (3, [1.0])], "query_id long, embedding array<float>")
+    index = knn.IvfIndex(spark, f"file://{tmp_path}/none").build(spark.createDataFrame([], kind))
+    assert index.search(asked, 3).count() == 0 and len(index) == 0
+    mixed = spark.createDataFrame([(1, [1.0, 0.1]), (2, [0.0, 1.0]), (3, [1.0, 0.0, 0.0]), (4, None), (5, []), (None, [1.0, 0.0]), (6, [0.0, 0.0])], kind)
+    index = knn.IvfIndex(spark, f"file://{tmp_path}/two").build(mixed)
+    assert len(index) == 4
+    assert [(r.query_id, r.vec_id) for r in index.search(asked, 1, probes=9).orderBy("query_id").collect()] == [(0, 1), (1, 3)]
+    hot = spark.createDataFrame([(i, [1.0, i / 1e6]) for i in range(3000)], kind)  # one cell has them all
+    index = knn.IvfIndex(spark, f"file://{tmp_path}/hot").build(hot, cells=1)
+    assert index.search(asked.where("query_id = 0"), 5).count() == 5
 
 
 def test_rrf_is_symmetric(spark):
