@@ -55,6 +55,9 @@ def test_pipeline_stages(awkward, spark, tmp_path):
         docs = spark.read.parquet(f"{tmp_path}/{k}")
         assert docs.columns == awkward.columns
     assert docs.count() >= 1
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, "")
+    assert packed.count() == docs.count()  # short texts are one piece each
+    assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), "").count() == 0
     nothing = spark.createDataFrame([], awkward.schema)
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, nothing, "").count() == 0
