@@ -29,29 +29,29 @@ def smaller_than_next(data: np.ndarray) -> np.ndarray:
 
 
 def direct_sort(at: np.ndarray, words: np.ndarray, depth: int) -> np.ndarray:
-    """Places `at` in the order of their suffixes' first `depth` bytes (rounded up to eights)."""
-    n = len(words)
-
-    def word(k: int, p: np.ndarray) -> np.ndarray:
-        q = p + 8 * k
-        return np.where(q < n, words[np.minimum(q, n - 1)], np.uint64(0))
-
+    """Places `at` in the order of their suffixes' first `depth` bytes, at least."""
     if not len(at):
         return at
-    at = at[np.argsort(word(0, at), kind="stable")]
-    key = word(0, at)
+    words = np.concatenate([words, np.zeros(depth + 8, np.uint64)])
+    key = words[at]
+    order = np.argsort(key)
+    at, key = at[order], key[order]
     tied = np.zeros(len(at) + 1, bool)
     tied[1:-1] = key[1:] == key[:-1]
-    for k in range(1, -(-depth // 8)):
+    done = 8
+    while done < depth:
         some = np.flatnonzero(tied[:-1] | tied[1:])
         if not len(some):
             break
+        # one number of the group of tied ones (above) and as many next bytes as there is room for
         group = np.cumsum(~tied[some])
-        key = word(k, at[some])
-        order = np.lexsort((key, group))
+        room = 8 - (int(group[-1]).bit_length() + 7) // 8
+        key = words[at[some] + done] >> np.uint64(64 - 8 * room) | group.astype(np.uint64) << np.uint64(8 * room)
+        order = np.argsort(key)
         at[some] = at[some][order]
-        key, group = key[order], group[order]
-        tied[some[1:]] &= (key[1:] == key[:-1]) & (group[1:] == group[:-1])
+        key = key[order]
+        tied[some[1:]] &= key[1:] == key[:-1]
+        done += room
     return at
 
 

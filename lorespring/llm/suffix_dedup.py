@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from ._arrays import Buffer, chunks, mix, text_chunks, texts_of
 from ._blobs import ROWS, batch_of, blobs_of, bucket_of, had_by_two, joined, pack, slices, unpack
-from ._spark import PICK_BITS, done_with, partitions, picked, tasks_for, text_bytes, written
+from ._spark import PICK_BITS, done_with, partitions, picked, roomy_heap, tasks_for, text_bytes, written
 from ._suffixes import common_prefixes, suffix_array, words_at
 
 LENGTH = 50
@@ -98,21 +98,23 @@ def runs(texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, np.ndarr
         reach *= 2
     if reach < span:
         least = np.minimum(least[: len(least) - (span - reach)], least[span - reach :])
-    windows = np.maximum(np.diff(buffer.starts) - 1 - length + 1, 0)
-    ends = np.cumsum(windows)
-    at = np.arange(ends[-1]) if len(ends) else none
-    text = np.repeat(np.arange(buffer.n), windows)
-    place = at - (ends - windows)[text]
-    value = least[buffer.starts[text] + place]
-    new = np.ones(len(at), bool)
-    new[1:] = (text[1:] != text[:-1]) | (value[1:] != value[:-1])
-    first = np.flatnonzero(new)
-    size = np.diff(np.concatenate([first, [len(at)]]))
+    windows = np.maximum(np.diff(buffer.starts) - length, 0)
+    some = windows > 0
+    turns = np.zeros(len(least) + 1, np.int8)
+    turns[buffer.starts[:-1][some]] = 1
+    turns[(buffer.starts[:-1] + windows)[some]] = -1
+    whole = np.cumsum(turns, dtype=np.int8).view(bool)
+    edge = np.ones(len(least) + 1, bool)  # two texts have places that begin no window between them
+    edge[1:-1] = (least[1:] != least[:-1]) | (whole[1:-1] != whole[:-2])
+    cuts = np.flatnonzero(edge)
+    mine = whole[cuts[:-1]]
+    first, size = cuts[:-1][mine], np.diff(cuts)[mine]
     if len(size) and size.max() > _LONGEST_RUN:  # periodic text
         parts = -(-size // _LONGEST_RUN)
         step = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
         first, size = np.repeat(first, parts) + step * _LONGEST_RUN, np.minimum(np.repeat(size, parts) - step * _LONGEST_RUN, _LONGEST_RUN)
-    return text[first], place[first], size, value[first]
+    text = np.searchsorted(buffer.starts, first, "right") - 1
+    return text, first - buffer.starts[text], size, least[first]
 
 
 def _answers(owner: np.ndarray, first: np.ndarray, count: np.ndarray, groups: int) -> list[tuple[int, bytes]]:
@@ -168,7 +170,7 @@ _HOT = -1
 def find_shared(group: pa.Table, groups: int, hot_runs: int) -> pa.Table:
     """The runs of a bucket whose anchor another document has, too, by group of documents; and the places of hot anchors in a bitmap."""
     value, owner, first, count = joined(blobs_of(group, 0), 4)
-    order = np.argsort(value, kind="stable")
+    order = np.argsort(value)
     value, owner, first, count = value[order], owner[order], first[order], count[order]
     shared, start = had_by_two(value, owner, count == 0)
     n = np.add.reduceat(np.where(count == 0, first, 1), np.flatnonzero(start)) if len(value) else np.zeros(0, np.int64)
@@ -403,6 +405,11 @@ def _bitmap(rows: DataFrame) -> bytes | None:
 
 def passages(docs: DataFrame, hot_runs: int = HOT_RUNS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, span_starts and span_ends (bytes, ends exclusive) of every row of docs."""
+    with roomy_heap(docs.sparkSession):
+        return _passages(docs, hot_runs)
+
+
+def _passages(docs: DataFrame, hot_runs: int) -> DataFrame:
     spark = docs.sparkSession
     size = text_bytes(docs)
     groups, buckets = (max(4 * partitions(spark), -(-size // each)) for each in (GROUP_TEXT, BUCKET_TEXT))

@@ -13,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lorespring.llm import _arrays, langid, license_scan, mixing, parity_join, quality, sharding, stream_dedup, suffix_dedup, unit_dedup
+from lorespring.llm._suffixes import direct_sort, words_at
 
 KIND = "doc_id long, text string, lang string, source string, n_chars long"
 A = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen"
@@ -142,6 +143,44 @@ def test_a_hash_is_of_its_span_wherever_it_stands():
         _arrays._PIECE = old
 
 
+def test_powers_are_kept_for_all_that_a_task_hashes_at_a_time():
+    n = 4 * suffix_dedup.TEXT_BYTES + 2
+    first = _arrays._power(_arrays._BASE, n)
+    assert len(first[0]) == n and all(np.shares_memory(a, b) for a, b in zip(first, _arrays._power(_arrays._BASE, n)))
+    p, k = (1 << 61) - 1, n - 1
+    assert (int(first[0][k]) << 31) + int(first[1][k]) == pow(_arrays._BASE, k, p)
+
+
+def test_workers_of_passages_keep_what_they_freed(spark, monkeypatch):
+    environment = spark.sparkContext.environment
+    before, seen = dict(environment), []
+    whole = suffix_dedup.written
+    monkeypatch.setattr(suffix_dedup, "written", lambda *a: (seen.append(environment.get("MALLOC_TRIM_THRESHOLD_")), whole(*a))[1])
+    suffix_dedup.passages(spark.createDataFrame([(1, A)], "doc_id long, text string"))
+    assert seen and set(seen) == {str(32 << 20)} and environment == before
+
+
+def test_runs_are_of_windows_with_one_least_hash():
+    rng = random.Random(3)
+    texts = [b"", b"x" * 49, b"y" * 50, b"z" * 900, b"ab" * 300, *(bytes(rng.choices(b"abcde ", k=n)) for n in (51, 52, 400, 3000, 7, 1000))]
+    text, first, size, anchor = (x.tolist() for x in suffix_dedup.runs(texts))
+    found = [(t, f + k, a) for t, f, n, a in zip(text, first, size, anchor) for k in range(n)]
+    expected = []
+    for t, raw in enumerate(texts):
+        for p in range(len(raw) - suffix_dedup.LENGTH + 1):
+            expected.append((t, p, int(suffix_dedup.anchors_at(np.frombuffer(raw[p : p + suffix_dedup.LENGTH], np.uint8)).min())))
+    assert found == expected and max(size) <= 255
+
+
+def test_direct_sort_goes_by_bytes():
+    rng = np.random.default_rng(7)
+    data = np.concatenate([np.tile(rng.integers(97, 99, 300), 3), rng.integers(97, 100, 2000)]).astype(np.uint8)
+    raw, at = data.tobytes(), rng.permutation(len(data) - 64)
+    order = direct_sort(at, words_at(data), 50)
+    assert sorted(order.tolist()) == list(range(len(data) - 64))
+    assert [raw[i : i + 50] for i in order] == sorted(raw[i : i + 50] for i in at)
+
+
 def test_one_string_in_many_different_texts(spark):
     """An anchor that stands in every document among different words is sent by windows, with the same result."""
     rng = random.Random(2)
