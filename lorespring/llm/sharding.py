@@ -2,7 +2,8 @@
 
 Pass 1 scatters the records uniformly into buckets that fit in memory, by a seeded hash of
 their key. The records of a bucket that gets far more than its part, as one key has that many,
-are scattered over all buckets by what else tells them apart (columns, then place). Pass 2 sorts each
+are scattered over all buckets by what else tells them apart (columns, then a number among equal
+ones, so that reruns agree). Pass 2 sorts each
 bucket by its key (so that reruns agree), shuffles it by Fisher-Yates with a generator
 seeded by the bucket, and gives every record its place in the whole order: the records of
 the buckets before it, plus its place in its own. The order is cut into shards whose counts
@@ -48,6 +49,18 @@ def _before(counts: DataFrame) -> DataFrame:
     return sliced.join(slices, "slice").select("b", "n", (F.col("__base") + upto(W.Window.partitionBy("slice").orderBy("b"), "n")).alias("before"))
 
 
+def _copies(df: DataFrame, place: list[str]) -> DataFrame | None:
+    """Place and `__copy`, from 0 on among wholly equal records, of the records of df that have an equal one; None if there are none. A place is another one in each run, so it only tells equal records apart."""
+    many = written(df.groupBy("__tie").agg(F.count("*").alias("n")).where("n > 1").select("__tie"), "ties")
+    if many.isEmpty():
+        return None
+    of = df.join(many, "__tie", "left_semi").select("__tie", *place, F.pmod(F.xxhash64(*place), F.lit(1024)).alias("slice"))
+    slices = of.groupBy("__tie", "slice").agg(F.count("*").alias("n"))
+    before = slices.select("__tie", "slice", F.coalesce(F.sum("n").over(W.Window.partitionBy("__tie").orderBy("slice").rowsBetween(W.Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    here = F.row_number().over(W.Window.partitionBy("__tie", "slice").orderBy(*place)) - 1
+    return written(of.withColumn("here", here).join(before, ["__tie", "slice"]).select(*place, (F.col("before") + F.col("here")).alias("__copy")), "copies")
+
+
 def external_shuffle(df: DataFrame, key: str, payload_bytes: str | None = None, seed: int = 7, shards: int = SHARDS, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """df with int `shard` and long `slot`. payload_bytes: an SQL expression for the bytes of a record's long columns, if it carries any."""
     df = df.drop("shard", "slot")
@@ -61,11 +74,18 @@ def external_shuffle(df: DataFrame, key: str, payload_bytes: str | None = None,
     over = sizes.where((F.col("bytes") > UNEVEN * bucket_bytes) & (F.col("n") > 1)).select(F.col("__bucket").alias("__over"))
     if not over.isEmpty():
         df, place = located(df)
-        scattered = scatter(df.select(*[F.col(f"`{c}`") for c in columns], F.xxhash64(*[F.col(c) for c in place]).alias("__place")))
+        scattered = scatter(df)
         n_over = over.count()
-        again = F.pmod(F.xxhash64(F.lit(seed + 1), "__tie", "__place"), F.lit(buckets))
-        scattered = scattered.join(F.broadcast(over) if n_over <= BROADCAST_ROWS else over, scattered["__bucket"] == over["__over"], "left")
-        scattered = scattered.withColumn("__bucket", F.when(F.col("__over").isNull(), F.col("__bucket")).otherwise(again)).drop("__over", "__place")
+        over = F.broadcast(over) if n_over <= BROADCAST_ROWS else over
+        copies = _copies(scattered.join(over, scattered["__bucket"] == over["__over"]), place)
+        scattered = scattered.join(over, scattered["__bucket"] == over["__over"], "left")
+        if copies is None:
+            scattered = scattered.withColumn("__copy", F.lit(0).cast("long"))
+        else:  # only records of such buckets are joined
+            rest = scattered.where(F.col("__over").isNull()).withColumn("__copy", F.lit(0).cast("long"))
+            scattered = rest.unionByName(scattered.where(F.col("__over").isNotNull()).join(copies, place, "left"))
+        again = F.pmod(F.xxhash64(F.lit(seed + 1), "__tie", F.coalesce("__copy", F.lit(0).cast("long"))), F.lit(buckets))
+        scattered = scattered.withColumn("__bucket", F.when(F.col("__over").isNull(), F.col("__bucket")).otherwise(again)).drop("__over", "__copy", *place)
         sizes = written(scattered.groupBy("__bucket").agg(F.count("*").alias("n")), "buckets")
     before = written(_before(sizes.select(F.col("__bucket").alias("b"), "n")), "before")
     each, longer = divmod(rows, shards)
