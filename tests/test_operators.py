@@ -347,3 +347,24 @@ def test_pooling_and_tokens(spark):
     df = spark.createDataFrame([("hello world",)], "x string").withColumn("ids", embed.tokenize(path)(F.col("x")))
     assert df.select(embed.decode(path)(F.col("ids"))).first()[0] == "hello world"
     assert embed.vocabulary_size(path) == 50257
+
+
+def test_tokenizer_gets_a_bounded_part_of_a_batch(monkeypatch):
+    """A batch of long texts doesn't go to the tokenizer at once (it did), and comes back as it was."""
+    sizes = []
+
+    class Words:
+        def encode_batch_fast(self, texts):
+            sizes.append(sum(map(len, texts)))
+            return [type("Encoding", (), {"ids": [ord(c) for c in t]}) for t in texts]
+
+        def decode_batch(self, ids, skip_special_tokens):
+            sizes.append(sum(map(len, ids)))
+            return ["".join(map(chr, i)) for i in ids]
+
+    monkeypatch.setattr(embed, "_tokenizer", lambda path, most: Words())
+    texts = ["a" * 3000, None, "", "b" * 5 * embed.AT_ONCE, *["c" * 1000] * 500]
+    ids = embed.ids_of(texts, "", 1)
+    assert embed.texts_of(ids, "", 1) == [t or "" for t in texts]
+    assert sorted(sizes)[-2:] == [5 * embed.AT_ONCE] * 2 and sorted(sizes)[-3] <= embed.AT_ONCE  # a text is never cut
+    assert [len(i) for i in embed.ids_of([], "", 1)] == []
