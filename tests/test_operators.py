@@ -368,3 +368,22 @@ def test_tokenizer_gets_a_bounded_part_of_a_batch(monkeypatch):
     assert embed.texts_of(ids, "", 1) == [t or "" for t in texts]
     assert sorted(sizes)[-2:] == [5 * embed.AT_ONCE] * 2 and sorted(sizes)[-3] <= embed.AT_ONCE  # a text is never cut
     assert [len(i) for i in embed.ids_of([], "", 1)] == []
+
+
+def test_bm25_index_is_written_a_part_at_a_time(spark, tmp_path, monkeypatch):
+    """Postings aren't shuffled, and a task inverts FLUSH tokens at a time (it sorted its part of all postings)."""
+    rows = [(i, f"common w{i % 7} w{i % 3} common" if i % 5 else None) for i in range(60)] + [(1, "common x1 y1 z1"), (70, "a")]  # an id and length twice
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    asked = spark.createDataFrame([(0, "common w1"), (1, "w2 w2 x1")], "query_id long, query string")
+    key = lambda df: sorted(map(tuple, df.collect()))
+    for flush in (1, 10, bm25.Index.FLUSH):
+        monkeypatch.setattr(bm25.Index, "FLUSH", flush)
+        index = bm25.Index(spark, str(tmp_path / f"index{flush}")).build(docs.coalesce(1))
+        lists = index._lists().where("term = 'common'")
+        assert lists.count() >= 49 * 4 // (flush + 8) + 1 and lists.selectExpr("max(size(ids))").first()[0] <= max(flush // 4 + 1, 1)
+        assert key(index.search(asked, 10)) == key(bm25.search(docs, asked, 10))
+        monkeypatch.setattr(bm25.Index, "PAIRS", 1)
+        assert key(index.search(asked, 10)) == key(bm25.search(docs, asked, 10))
+        monkeypatch.undo()
+    plan = index.search(asked, 10)._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in plan
