@@ -387,3 +387,16 @@ def test_bm25_index_is_written_a_part_at_a_time(spark, tmp_path, monkeypatch):
         monkeypatch.undo()
     plan = index.search(asked, 10)._jdf.queryExecution().optimizedPlan().toString()
     assert "strategy=broadcast" in plan
+
+
+def test_few_hits_go_to_the_texts(spark):
+    """Where hits are few, they are sent to the documents; whole texts were shuffled to them."""
+    docs = spark.createDataFrame([(1, "a"), (2, None), (3, "c")], "doc_id long, content string")
+    hits = spark.createDataFrame([(0, 1), (0, 2), (0, 9), (1, 3), (1, 1)], "query_id long, doc_id long")
+    got = hybrid.content_of(hits, docs, few=True)
+    assert sorted((r.query_id, r.doc_id, r.content) for r in got.collect()) == [(0, 1, "a"), (1, 1, "a"), (1, 3, "c")]
+    assert sorted((r.query_id, r.doc_id, r.content) for r in hybrid.content_of(hits, docs).collect()) == [(0, 1, "a"), (1, 1, "a"), (1, 3, "c")]
+    vectors = docs.select("doc_id", F.array(F.col("doc_id").cast("float"), F.lit(1.0).cast("float")).alias("embedding"))
+    asked = spark.createDataFrame([(0, "cc", [1.0, 1.0])], "query_id long, query string, embedding array<float>")
+    found = hybrid.search(docs.select("doc_id", F.col("content").alias("text")), vectors, asked, 2)
+    assert "strategy=broadcast" in found._jdf.queryExecution().optimizedPlan().toString()
