@@ -400,3 +400,38 @@ def test_few_hits_go_to_the_texts(spark):
     asked = spark.createDataFrame([(0, "cc", [1.0, 1.0])], "query_id long, query string, embedding array<float>")
     found = hybrid.search(docs.select("doc_id", F.col("content").alias("text")), vectors, asked, 2)
     assert "strategy=broadcast" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_knn_does_not_move_vectors(spark, tmp_path, monkeypatch):
+    """Queries go to the vectors: no join, in which all vectors had one key and blocks of them stood in one task. Too many queries to send meet spread blocks, with the same result."""
+    rng = np.random.default_rng(1)
+    data = rng.integers(-2, 3, (700, 4)).astype(float)  # many ties, and zero vectors
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(data)] + [(900, [float("nan")] * 4), (901, None), (902, [1.0])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    asked = vectors.where("vec_id % 3 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    key = lambda df: sorted(map(tuple, df.select("query_id", "vec_id", "similarity", "rank").collect()))
+    index = knn.IvfIndex(spark, f"file://{tmp_path}/ivf").build(vectors)
+    every, near, least = knn.top_k(asked, vectors, 9), index.search(asked, 9, probes=2), knn.top_k(asked, vectors, 9, least=0.9)
+    whole = index.search(asked, 9, probes=index.MOST_CELLS)
+    for df in (every, near, whole, least):
+        assert "Join" not in df._jdf.queryExecution().optimizedPlan().toString()
+    norms = np.sqrt((data * data).sum(1))
+    both = norms[:, None] * norms[None]
+    sim = np.round(np.divide(data @ data.T, both, out=np.zeros_like(both), where=both > 0), 6) + 0.0
+    expected = []
+    for q in range(0, 700, 3):
+        order = np.lexsort((np.arange(700), -sim[q]))[:9]
+        expected += [(q, int(v), float(sim[q, v]), r + 1) for r, v in enumerate(order)]
+    got = key(every)
+    assert [g for g in got if g[0] < 900] == sorted(expected) and key(whole) == got
+    sent = key(near), key(least)
+    assert sent[1] == [g for g in got if g[2] >= 0.9]
+    monkeypatch.setattr(knn._Nearest, "HELD", 50)
+    seen = knn._Nearest(np.arange(0, 700, 3), data[::3], 9, None)
+    for a in range(0, 700, 5):
+        seen.see(np.arange(a, a + 5), data[a : a + 5])
+    parts = [b.to_pydict() for b in seen.found(["q", "v", "s"])]
+    assert sorted((q, v, s) for p in parts for q, v, s in zip(p["q"], p["v"], p["s"])) == sorted(e[:3] for e in expected)
+    monkeypatch.setattr(knn, "SENT", 0)
+    assert key(knn.top_k(asked, vectors, 9)) == got and key(index.search(asked, 9, probes=index.MOST_CELLS)) == got
+    assert (key(index.search(asked, 9, probes=2)), key(knn.top_k(asked, vectors, 9, least=0.9))) == sent
