@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from ..functions.text import TERMINATORS, normal_sentence, sentences
 from ..functions.vectors import cosine_in_batches
+from . import knn
 
 
 def compressed(docs: DataFrame, max_chars: int = 0, text: str = "text", id_: str = "doc_id") -> DataFrame:
@@ -51,11 +54,44 @@ def compressed_by_similarity(texts: DataFrame, queries: DataFrame, embed, top: i
     return compressed(joined, 0, "text", "query_id")
 
 
+def _against_all(parts: DataFrame, queries: DataFrame, least: float) -> DataFrame:
+    """parts with query_id and similarity in place of the vector __v, a row a query. Queries of a size that can be sent to the workers are held against a batch of vectors at once, where these are made, and only what is about as similar as `least` leaves it."""
+    asked = knn._sent(queries, "query_id", "embedding") if least > 0 and dict(queries.dtypes)["query_id"] in ("int", "bigint") else None
+    if asked is None:
+        pairs = parts.crossJoin(queries.select("query_id", "embedding"))
+        return pairs.withColumn("similarity", F.round(cosine_in_batches(F.col("__v"), F.col("embedding")), 6)).drop("__v", "embedding")
+    shared = queries.sparkSession.sparkContext.broadcast(asked)
+
+    @F.pandas_udf("q array<long>, s array<double>")
+    def scores(vectors: pd.Series) -> pd.DataFrame:
+        sizes = np.array([0 if v is None else len(v) for v in vectors], np.int64)
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        for dim, (ids, data) in shared.value.items():
+            mine = np.flatnonzero(sizes == dim)
+            if not len(mine):
+                continue
+            x = np.stack([np.asarray(vectors.iloc[i], np.float64) for i in mine])
+            norms = np.sqrt((x * x).sum(1))
+            for q, y, norm in zip(ids.tolist(), data, np.sqrt((data * data).sum(1))):
+                both = norms * norm
+                similarity = np.divide((x * y).sum(1), both, out=np.zeros(len(x)), where=both > 0)
+                hit = np.flatnonzero(~(similarity < least - 1e-6))
+                found.append((mine[hit], np.full(len(hit), q), similarity[hit]))
+        row, q, s = (np.concatenate(f) for f in zip(*found))
+        order = np.argsort(row, kind="stable")
+        cuts = np.searchsorted(row[order], np.arange(1, len(sizes)))
+        return pd.DataFrame({"q": np.split(q[order], cuts)[: len(sizes)], "s": np.split(s[order], cuts)[: len(sizes)]})
+
+    every = parts.withColumn("__s", scores(F.col("__v"))).drop("__v")
+    kind = dict(queries.dtypes)["query_id"]
+    hits = every.select(*every.columns[:-1], F.inline(F.arrays_zip(F.col("__s.q").alias("q"), F.col("__s.s").alias("s"))).alias("query_id", "similarity"))
+    return hits.withColumn("query_id", F.col("query_id").cast(kind)).withColumn("similarity", F.round("similarity", 6))
+
+
 def compressed_for_queries(docs: DataFrame, queries: DataFrame, embed, top: int = 15, least: float = 0.2, text: str = "text", id_: str = "doc_id") -> DataFrame:
     """(query_id, id, text, ...) of compressed() over the sentences of each text that are nearest to each query (query_id, embedding), in their order. A sentence is embedded once, whatever is asked of it; every query is held against every text."""
     parts = docs.select(F.col(id_), F.posexplode(sentences(F.col(text))).alias("index", "sentence")).where(F.trim("sentence") != "").withColumn("__v", embed(F.col("sentence")))
-    pairs = parts.crossJoin(queries.select("query_id", "embedding"))
-    scored = pairs.withColumn("similarity", F.round(cosine_in_batches(F.col("__v"), F.col("embedding")), 6)).where(F.col("similarity") >= least).drop("__v", "embedding")
+    scored = _against_all(parts, queries, least).where(F.col("similarity") >= least)
     order = W.Window.partitionBy("query_id", id_).orderBy(F.desc("similarity"), "index")
     best = scored.withColumn("place", F.row_number().over(order)).where(F.col("place") <= top)
     joined = best.groupBy("query_id", id_).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("index", "sentence"))), lambda x: x["sentence"]), " ").alias("text"))

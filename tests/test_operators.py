@@ -435,3 +435,16 @@ def test_knn_does_not_move_vectors(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(knn, "SENT", 0)
     assert key(knn.top_k(asked, vectors, 9)) == got and key(index.search(asked, 9, probes=index.MOST_CELLS)) == got
     assert (key(index.search(asked, 9, probes=2)), key(knn.top_k(asked, vectors, 9, least=0.9))) == sent
+
+
+def test_sentences_are_held_against_all_queries_at_once(spark, monkeypatch):
+    """Vectors meet the queries in the batch in which they are made (they were paired one by one by a join), with the same result."""
+    hashed = embed.hashing(8)
+    docs = spark.createDataFrame([(i, f"Cats sleep {i}. Dogs bark {i % 3}! Cats sleep {i}. Nothing here. A fish? a {i}") for i in range(30)] + [(90, None), (91, "")], "doc_id long, text string")
+    asked = spark.createDataFrame([(3, "cats sleep"), (5, "a fish"), (8, "dogs 1 bark"), (9, "")], "query_id int, query string").select("query_id", hashed(F.col("query")).alias("embedding"))
+    key = lambda df: sorted(map(tuple, df.collect()))
+    df = compress.compressed_for_queries(docs, asked, hashed, top=2)
+    assert "Join" not in df._jdf.queryExecution().optimizedPlan().toString() and df.schema["query_id"].dataType.simpleString() == "int"
+    got = key(df)
+    monkeypatch.setattr(compress.knn, "SENT", 0)
+    assert len(got) > 30 and key(compress.compressed_for_queries(docs, asked, hashed, top=2)) == got
