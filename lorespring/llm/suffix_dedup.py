@@ -8,6 +8,8 @@ LENGTH-byte window has an anchor, the least hash of its ANCHOR-byte strings. Equ
 have equal anchors, and neighbouring windows mostly share theirs, so a text has one run of
 windows for about every dozen bytes.
 
+0. Of equal texts only the smallest document goes on; the others lose all, as each of their
+   strings starts in it, too.
 1. Each task packs the (anchor, run) pairs of its documents by bucket. An anchor that two
    documents of a task share is answered there and sent once. A bucket says which runs
    have an anchor of another document, too, and which anchors have over HOT_RUNS runs.
@@ -386,6 +388,18 @@ def cut_out(docs: pa.Table, replies: pa.Table) -> pa.Table:
     return pa.table({n: pa.array(c, k) for n, c, k in zip(names, out, kinds)})
 
 
+def _firsts(read: DataFrame) -> DataFrame:
+    """whole (SHA-256 of the text), first_id, first_owner and n of each different text of read: the smallest document that has it, and in how many rows it is."""
+    first = F.min(F.struct("doc_id", "owner"))
+    found = read.select(F.unhex(F.sha2("text", 256)).alias("whole"), "doc_id", "owner").groupBy("whole").agg(first.alias("f"), F.count("*").alias("n"))
+    return written(found.select("whole", F.col("f.doc_id").alias("first_id"), F.col("f.owner").alias("first_owner"), "n"), "firsts")
+
+
+def _unrepeated(read: DataFrame, firsts: DataFrame) -> DataFrame:
+    """Rows of read without those (a few stay) whose text a smaller document has, too. These lose all, and no window's smallest document is among them."""
+    return picked(read, F.col("owner"), firsts, F.col("first_owner"))
+
+
 def _bitmap(rows: DataFrame) -> bytes | None:
     """The bitmap of the places in `rows` (blobs), of PICK_BITS bits; None if there are none."""
 
@@ -429,7 +443,8 @@ def _passages(docs: DataFrame, hot_runs: int) -> DataFrame:
 
         return run
 
-    anchors = read.select("owner", "text").mapInArrow(lambda b: emit_anchors(b, buckets, groups), ROWS)
+    firsts = _firsts(read)
+    anchors = _unrepeated(read, firsts).select("owner", "text").mapInArrow(lambda b: emit_anchors(b, buckets, groups), ROWS)
     found = written(anchors.select("*", to).repartition(tasks, "to").groupBy("to").applyInArrow(answered(lambda group, n: find_shared(group, n, hot_runs)), "grp int, blob binary"), "shared")
     shared, hot = found.where(F.col("grp") != _HOT), _bitmap(found.where(F.col("grp") == _HOT))
 
@@ -452,10 +467,18 @@ def _passages(docs: DataFrame, hot_runs: int) -> DataFrame:
     removed = written(segments.select("*", to).repartition(tasks, "to").groupBy("to").applyInArrow(answered(judge_segments), "grp int, blob binary"), "removed")
     done_with(found)
     cut = together(removed).applyInArrow(cut_out, _RESULT)
-    every = read.select("own_id", "doc_id", "owner", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("whole"))
-    joined = every.join(cut, ["doc_id", "owner"], "left")
+    every = read.select("own_id", "doc_id", "owner", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("hex"))
+    joined = every.join(cut, ["doc_id", "owner"], "left").withColumn("whole", F.unhex("hex")).join(firsts.where("n > 1").select("whole", "first_id"), "whole", "left")
     none = F.array().cast("array<bigint>")
-    return joined.select(F.col("own_id").alias("doc_id"), "n_bytes", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"), F.coalesce("kept_sha256", "whole").alias("kept_sha256"), F.coalesce("span_starts", none).alias("span_starts"), F.coalesce("span_ends", none).alias("span_ends"))
+    copy = (F.col("first_id") < F.col("doc_id")) & (F.col("n_bytes") >= LENGTH)
+    values = {
+        "n_removed": (F.col("n_bytes"), F.coalesce("n_removed", F.lit(0)).cast("long")),
+        "n_spans": (F.lit(1).cast("long"), F.coalesce("n_spans", F.lit(0)).cast("long")),
+        "kept_sha256": (F.lit(hashlib.sha256(b"").hexdigest()), F.coalesce("kept_sha256", "hex")),
+        "span_starts": (F.array(F.lit(0).cast("long")), F.coalesce("span_starts", none)),
+        "span_ends": (F.array("n_bytes"), F.coalesce("span_ends", none)),
+    }
+    return joined.select(F.col("own_id").alias("doc_id"), "n_bytes", *[F.when(copy, whole).otherwise(part).alias(name) for name, (whole, part) in values.items()])
 
 
 def op5(docs: DataFrame) -> DataFrame:

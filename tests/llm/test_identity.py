@@ -361,3 +361,28 @@ def test_licenses_by_sets_of_words(spark):
         h = license_scan.shingle_lists([(t or "").encode()])[1]
         if len(h) < 3000:
             assert {index.names[j] for j in index.find(h, every=True)} == found[k]
+
+
+def test_copies_are_no_work_for_suffix_arrays(spark):
+    """Of equal texts one document goes on to the anchors (all did), and what is removed stays the same."""
+    rng = random.Random(7)
+    words = lambda n: " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "epsilon", "zeta"]) + str(rng.randrange(999)) for _ in range(n))
+    whole, other, short = words(40), words(30), "short"
+    rows = [(i, whole) for i in range(40, 0, -1)] + [(1, whole), (0, other), (50, whole[:120] + other), (None, "x" + other), (7, short), (8, short), (9, None), (9, words(12))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(tuple, suffix_dedup.passages(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "span_starts", "span_ends").collect()), key=str)
+
+    def expected(i, text):
+        mine, text = -(1 << 63) if i is None else i, (text or "").encode()
+        gone = [False] * len(text)
+        for p in range(len(text) - 49):
+            if any((-(1 << 63) if d is None else d) < mine and text[p : p + 50] in (t or "").encode() for d, t in rows):
+                gone[p : p + 50] = [True] * 50
+        edges = [p for p in range(len(text) + 1) if (p > 0 and gone[p - 1]) != (p < len(text) and gone[p])]
+        kept = bytes(b for b, g in zip(text, gone) if not g)
+        return i, len(text), sum(gone), len(edges) // 2, hashlib.sha256(kept).hexdigest(), edges[::2], edges[1::2]
+
+    assert got == sorted((expected(*r) for r in rows), key=str)
+    read = docs.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("owner", F.xxhash64("doc_id", "text").bitwiseAND(F.lit((1 << 40) - 1)))
+    left = suffix_dedup._unrepeated(read, suffix_dedup._firsts(read))
+    assert left.count() == 8 and left.where("length(text) > 300 AND doc_id BETWEEN 1 AND 40").count() == 2  # doc 1, twice
